@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from loamix.llm import mixing, quality, simhash, token_output, toxicity, url_filter, warc
+from loamix.llm import embeddings, mixing, quality, simhash, token_output, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op3_quality_resampling": quality.op3_quality_resampling,
+    "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {**url_filter.ORACLE, **warc.ORACLE}
+ORACLES = {**embeddings.ORACLE, **url_filter.ORACLE, **warc.ORACLE}
