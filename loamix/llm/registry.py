@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamix.llm import embeddings, mixing, quality, simhash, token_output, toxicity, url_filter, warc
+from loamix.llm import decontaminate, embeddings, mixing, quality, simhash, token_output, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -11,7 +11,8 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {**embeddings.ORACLE, **url_filter.ORACLE, **warc.ORACLE}
+ORACLES = {**decontaminate.ORACLE, **embeddings.ORACLE, **url_filter.ORACLE, **warc.ORACLE}
