@@ -1,3 +1,88 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet into the
+shared folder and reads it again as the next stage's documents. All stages but the last return the columns of
+their input. Documents are told apart by id and text, so nulls and repeated rows are handled by each stage:
+repeated rows are scored alike, are one group for the near-duplicate stage, are judged alike for contamination, and are documents of their own for
+mixing and writing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamix.llm import decontaminate, mixing, simhash, token_output, toxicity
+from loamix.plans.shared import Workspace, broadcast_if_small
+
+#: Documents with this toxicity score or more are rejected.
+TOXIC = 0.3
+
+
+def _key(docs: DataFrame):
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"))
+
+
+def _once(docs: DataFrame, keys: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The documents of ``keys`` (key, rows, ...), one row for each; ``rows`` tells how many rows of ``docs`` have the key."""
+    named = docs.withColumn("_key", _key(docs))
+    keys = keys.select(F.col("key.id").alias("_id"), F.col("key.copy").alias("_copy"), "rows", *more)
+    same = F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.copy") == F.col("_copy"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = named.join(broadcast_if_small(keys, 64), same)
+    single = found.where("rows = 1").select(*columns, *more)
+    again = found.where("rows > 1").dropDuplicates(["_id", "_copy"]).select(*columns, *more)
+    return single.unionByName(again)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fitted(spark, docs, sf_dir, Workspace(spark, "toxicity"))
+    return toxicity.keep_clean(docs, model, TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id, and of one id the one with the smallest hash of its text, of each group."""
+    work = Workspace(spark, "near-duplicates")
+    groups = simhash.similar_documents(docs, work)
+    kept = groups.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("key")).agg(F.count("*").alias("rows"))
+    return _once(docs, work.save(kept, "kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Workspace(spark, "decontamination"))
+    hits = broadcast_if_small(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_copy")), 32)
+    named = docs.withColumn("_key", _key(docs))
+    clean = named.join(hits, F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.copy") == F.col("_copy")), "left_anti")
+    return clean.drop("_key")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    work = Workspace(spark, "mixing")
+    taken = mixing.mix(docs.select(_key(docs).alias("doc_id"), "text", "source"), work)
+    keys = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    once = _once(docs, work.save(keys, "keys"), ("copies",))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_output.token_files(docs, Workspace(spark, "tokens"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("source_mix", mix_sources),
+    ("token_output", write_tokens),
+]
+#: No SQL: the first stage trains a model, the last uses a tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.save(stage(spark, docs, sf_dir), name)
+    return docs

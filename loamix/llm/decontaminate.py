@@ -53,18 +53,36 @@ def windows_of(items: DataFrame, window: int, id_col: str, text_col: str) -> Dat
     return own.select("item", F.explode(F.expr(_bound(words("text"), "w", cut))).alias("window")).distinct()
 
 
-def find(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, starts, items) for every row of ``docs``.
+NO_STARTS, NO_ITEMS = "cast(array() as array<struct<start:int,length:int>>)", "cast(array() as array<string>)"
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def find(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """(doc_id, text_hash, n_words, n_hit, starts, items) for every row of ``docs``; see ``hits``."""
+    base = _own(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(f"size({words('text')})").cast("long").alias("n_words"))
+    found = hits(docs, items, work, window, id_col, text_col, **columns)
+    return base.join(found, _same(base, found), "left").select(base["doc_id"], base["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("starts", F.expr(NO_STARTS)).alias("starts"), F.coalesce("items", F.expr(NO_ITEMS)).alias("items"))
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
+
+def hits(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_hit, starts, items) for each different contaminated document.
 
     ``starts`` lists (start, length) of the occurrences in words, ``items`` the ids of the items as sorted strings.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = _own(docs, id_col, text_col)
     owned = work.save(windows_of(items, window, item_id, item_text).withColumn("window_id", F.sha2(F.array_join("window", " "), 256)), "windows")
     windows = work.save(owned.select("window_id", "window").distinct(), "distinct_windows")
     widths = [r.width for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("width")).distinct().collect()]  # 1 .. SHINGLE
-    base = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(f"size({words('text')})").cast("long").alias("n_words"))
     if not widths:
-        return base.select("*", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("starts"), F.expr("cast(array() as array<string>)").alias("items"))
+        kind = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, n_hit long, starts array<struct<start:int,length:int>>, items array<string>"
+        return docs.sparkSession.createDataFrame([], kind)
     shingled = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(*[F.lit(s) for s in sorted(widths)])).alias("width"), "text") if len(widths) > 1 else own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(widths[0]).alias("width"), "text")
     each = F.posexplode(F.expr(_bound(words("text"), "w", "case " + " ".join(f"when width = {s} then {_shingles('w', s)}" for s in sorted(widths)) + " end")))
     # Rarity: occurrences in all documents of the shingles that windows have.
@@ -87,17 +105,15 @@ def find(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, i
     cand = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found")
     paired = texts.join(cand, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     exact = "filter(found, c -> c.start + c.length <= size(w) and slice(w, c.start + 1, c.length) = c.window)"
-    hits = paired.select("doc_id", "text_hash", F.expr(f"array_sort({_bound(words('text'), 'w', f'transform({exact}, c -> struct(c.start as start, c.length as length, c.window_id as window_id))')})").alias("hits"))
-    hits = work.save(hits.where("size(hits) > 0").distinct(), "hits")
+    met_at = paired.select("doc_id", "text_hash", F.expr(f"array_sort({_bound(words('text'), 'w', f'transform({exact}, c -> struct(c.start as start, c.length as length, c.window_id as window_id))')})").alias("hits"))
+    met_at = work.save(met_at.where("size(hits) > 0").distinct(), "hits")
     covered = "aggregate(hits, struct(0 as end, 0L as n), (acc, c) -> struct(greatest(acc.end, c.start + c.length) as end, acc.n + greatest(0, c.start + c.length - greatest(acc.end, c.start)) as n), acc -> acc.n)"
-    spans = hits.select("doc_id", "text_hash", F.expr(covered).cast("long").alias("n_hit"), F.expr("array_distinct(transform(hits, c -> struct(c.start, c.length)))").alias("starts"))
-    windows_hit = hits.select("doc_id", "text_hash", F.explode(F.expr("array_distinct(hits.window_id)")).alias("window_id"))
+    spans = met_at.select("doc_id", "text_hash", F.expr(covered).cast("long").alias("n_hit"), F.expr("array_distinct(transform(hits, c -> struct(c.start, c.length)))").alias("starts"))
+    windows_hit = met_at.select("doc_id", "text_hash", F.explode(F.expr("array_distinct(hits.window_id)")).alias("window_id"))
     of_items = windows_hit.join(broadcast_if_small(owned.select("window_id", F.col("item").cast("string").alias("item")), 128), "window_id").where("item is not null")
     of_items = of_items.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    null_safe = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    both = spans.join(of_items, null_safe(spans, of_items), "left").select(spans["doc_id"], spans["text_hash"], "n_hit", "starts", "items")
-    both = work.save(both, "found")
-    return base.join(both, null_safe(base, both), "left").select(base["doc_id"], base["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("starts", F.expr("cast(array() as array<struct<start:int,length:int>>)")).alias("starts"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    both = spans.join(of_items, _same(spans, of_items), "left").select(spans["doc_id"], spans["text_hash"], "n_hit", "starts", "items")
+    return work.save(both.select("doc_id", "text_hash", "n_hit", "starts", F.coalesce("items", F.expr(NO_ITEMS)).alias("items")), "found")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

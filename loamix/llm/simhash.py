@@ -257,6 +257,61 @@ def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspa
     return prints.withColumn("node", node).join(of_node, "node").select("id", *names, "component_id")
 
 
+#: For documents that share four fifths of their five-word shingles: fingerprints of 192 bits over distinct words, of which such documents
+#: share more than nine tenths; three pairs of segments by key.
+SIMILAR = Scheme(((0, 23), (23, 23), (46, 23), (69, 23), (92, 23), (115, 23)), (((), (0, 1)), ((), (2, 3)), ((), (4, 5))), 28)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    pieces = {b" ".join(tokens[i : i + width]) for i in range(max(1, len(tokens) - width + 1))} if tokens else set()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(p, 1) for p in pieces), np.uint64, len(pieces)))
+
+
+def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int = 5):
+    """For ``near_duplicates``: keeps edges between documents whose shingle sets have at least that Jaccard similarity.
+
+    ``keyed`` has id and text. Sets are fetched for the documents that have an edge only.
+    """
+
+    def verify(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
+        wanted = work.save(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id")), "wanted")
+        texts = keyed.join(broadcast_if_small(wanted, 64), "id").select("node", "text")
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+        # Documents of one id and text have equal sets; one of them is enough.
+        sets = work.save(texts.mapInArrow(listed, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+        def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+        left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+        right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        return work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), "verified")
+
+    return verify
+
+
+def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row, both as (id, hash of the text): groups of documents linked by similar shingle sets."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
+    longs = 3
+    prints = fingerprints(keyed, shingle=1, longs=longs, distinct=True, id_col="id")
+    return near_duplicates(prints, scheme, longs, work, verifier(keyed, work, similarity)).select("id", "component_id")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "op9")
     prints = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3)

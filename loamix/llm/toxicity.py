@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,6 +237,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return source.mapInPandas(scored, T.StructType([source.schema[id_col], T.StructField("score", T.DoubleType())]))
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``limit``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([probability(x.as_py(), shared.value) < limit for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows of the fourth of the ids that teaches nothing; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
