@@ -1 +1 @@
-
+"""Column functions: tokenizers, n-grams, URLs, HTML."""
