@@ -97,7 +97,7 @@ def spans(roll: Rolling, window: int) -> tuple[np.ndarray, ...]:
     return anchor.view(np.int64), span.view(np.int64), first, last
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("firsts", T.ArrayType(T.IntegerType()))]))
 
 
 def fingerprints(docs: DataFrame, window: int) -> DataFrame:
@@ -108,15 +108,25 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                counts, sums, found, ends = [], [], [], [0]
+                counts, sums, found, ends, within, places = [], [], [], [0], [np.zeros(1, np.int64)], 0
                 for text in part.column(2):
                     words = split(text.as_py())
                     counts.append(len(words))
                     sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    found.append(spans(Rolling(words), window) if len(words) >= window else (np.empty(0, np.int64),) * 4)
-                    ends.append(ends[-1] + len(found[-1][0]))
+                    anchor, span, first, last = spans(Rolling(words), window)
+                    # A span that a document has several times is one entry with all its places.
+                    order = np.lexsort((first, span, anchor))
+                    anchor, span, first, last = anchor[order], span[order], first[order], last[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
+                    starts = np.nonzero(new)[0]
+                    within.append(np.append(starts[1:], len(order))[: len(starts)] + places)
+                    places += len(order)
+                    found.append((anchor[new], span[new], (last - first)[new], first))
+                    ends.append(ends[-1] + len(starts))
                 columns = [np.concatenate([f[i] for f in found]) for i in range(4)]
-                fields = pa.StructArray.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], ["anchor", "span", "first", "last"])
+                firsts = pa.ListArray.from_arrays(pa.array(np.concatenate(within).astype(np.int32)), pa.array(columns[3].astype(np.int32)))
+                fields = pa.StructArray.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), firsts], ["anchor", "span", "size", "firsts"])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sums), lists], names=["doc_id", "copy", "n_words", "sha256", "spans"])
 
@@ -124,7 +134,7 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
 
 class SpanIndex:
-    """Sorted immutable runs of (anchor, span, least): ``least`` is the smallest (doc_id, copy, first, last) with the span."""
+    """Sorted immutable runs of (anchor, span, least): ``least`` is the smallest (doc_id, copy, size, firsts) with the span."""
 
     def __init__(self, work: Workspace, window: int = 50, most_runs: int = MOST_RUNS):
         self.work, self.window, self.most_runs = work, window, most_runs
@@ -161,12 +171,13 @@ class SpanIndex:
         rows = self.work.save(fingerprints(docs, self.window), f"batch-{number}")
         self.batches.append(rows)
         each = rows.select("doc_id", "copy", F.explode("spans").alias("s")).select("doc_id", "copy", "s.*")
-        self._write(each.select("anchor", "span", F.struct("doc_id", "copy", "first", "last").alias("least")))
+        self._write(each.select("anchor", "span", F.struct("doc_id", "copy", "size", "firsts").alias("least")))
         # The runs are merged on their way into the join; a null id is the smallest.
         known = self.history().groupBy("anchor", "span").agg(F.min("least.doc_id").alias("least_id"), F.max(F.col("least.doc_id").isNull()).alias("any_null"))
         met = each.join(known.hint("merge"), ["anchor", "span"])
         smaller = F.coalesce((F.col("least_id") < F.col("doc_id")) | (F.col("any_null") & F.col("doc_id").isNotNull()), F.lit(False))
-        self.removed.append(self.work.save(met.where(smaller).select("doc_id", "copy", "first", "last"), f"removed-{number}"))
+        gone = met.where(smaller).select("doc_id", "copy", F.explode("firsts").alias("first"), "size")
+        self.removed.append(self.work.save(gone.select("doc_id", "copy", "first", (F.col("first") + F.col("size")).alias("last")), f"removed-{number}"))
         if len(self.runs) > self.most_runs:
             self.compact()
 
@@ -175,7 +186,7 @@ class SpanIndex:
         self.compact()
         run = self.runs[0]
         several = run.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        open_ = run.join(several, "anchor", "left_semi").groupBy("least.doc_id", "least.copy").agg(F.collect_list(F.struct("least.first", "least.last")).alias("open"))
+        open_ = run.join(several, "anchor", "left_semi").groupBy("least.doc_id", "least.copy").agg(F.collect_list(F.struct("least.size", "least.firsts")).alias("open"))
         open_ = self.work.save(open_, "open")
         found = with_text(docs, open_)
         window = self.window
@@ -187,7 +198,7 @@ class SpanIndex:
                     rows, hashes, places = [], [[], []], []
                     for i, (text, open_) in enumerate(zip(part.column(2), part.column(3), strict=True)):
                         roll = Rolling(split(text.as_py()))
-                        at = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in open_.as_py()])
+                        at = np.concatenate([np.arange(first, first + x["size"] + 1) for x in open_.as_py() for first in x["firsts"]])
                         at = np.unique(at)
                         for which in (0, 1):
                             hashes[which].append(roll.of(at, at + window, which))
