@@ -9,8 +9,8 @@ stream need only one sum per file.
 Encoding is done by the tokenizers library. If the tokenizer is byte-level BPE with its usual pattern, a text
 is the concatenation of the encodings of its units (a run of non-space characters with the space before it, or
 white space), since that pattern never joins two units; each worker then keeps the ids of units it
-has seen, and gives the library's model only the pieces of new ones. Other tokenizers, and texts that hold an added
-token's string, are encoded whole.
+has seen, gives the library only new ones, and gathers the ids of texts as arrays. Other tokenizers, and texts that hold
+an added token's string, are encoded whole.
 
 Defined results: a null text is an empty one and has only the end id. Repeated ids follow each other, ordered by the hash of
 their text; null ids come first. Columns other than the id and the text are not read. An empty table
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +40,16 @@ SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Starts units that have no space before them.
 MARK = "\0"
-#: The pieces of byte-level BPE, and the characters that stand for bytes (printable ones for themselves).
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Texts whose words are not parted by one space or line break each.
+UNEVEN = f"(?:^|[ \n])(?:[ \n]|$)|[\\x00\x1c-\x1f{SPACE.replace(' ', '', 1)}]".replace("-\r", "\x0b-\r")
+#: Words that are one piece; punctuation that is a piece of its own at a word's end.
+LATIN, ENDING = re.compile("\\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), "([A-Za-z0-9])([.,;:!?]+)( |$)"
+#: Bytes that stand for themselves in byte-level BPE; the others are moved above them.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Units that a worker remembers at most, and the longest of them.
 REMEMBERED, LONGEST = 1_000_000, 40
+#: Bytes of text that are encoded together (one text may have more), and words whose ids are gathered together.
+TOGETHER, GATHERED = 16 << 20, 1 << 19
 
 
 class Encoder:
@@ -57,51 +62,77 @@ class Encoder:
         about = json.loads(self.library.to_str())
         pre = about.get("pre_tokenizer") or {}
         self.added = [x["content"] for x in about.get("added_tokens", [])]
-        self.by_unit = about.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and about["model"].get("type") == "BPE"
+        self.by_unit = bool(self.added) and about.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and about["model"].get("type") == "BPE"
         others = iter(range(256, 512))
-        self.letters = [chr(b if b in PRINTABLE else next(others)) for b in range(256)]
+        self.letters = {b: b if b in PRINTABLE else next(others) for b in range(256)}
         self.seen: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _unit(self, key: str) -> bytes:
-        """Ids of a unit: keys with a leading mark stand for the rest, others but a line break's for themselves after a space."""
-        unit = key[1:] if key[0] == MARK else key if key[0] == "\n" else f" {key}"
-        found = []
-        for piece in PIECE.findall(unit):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                letters = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = array("I", [x.id for x in self.library.model.tokenize(letters)]).tobytes()
-                if len(piece) <= LONGEST:
-                    self.pieces[piece] = ids
-            found.append(ids)
-        return b"".join(found)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if not self.by_unit or any(a in x for a in self.added)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ids of new units: keys with a leading mark stand for the rest, others but a line break's for themselves after a space."""
+        model, letters = self.library.model, self.letters
+        plain = list(filter(LATIN.fullmatch, keys))
+        self.seen.update([(x, array("I", [y.id for y in model.tokenize((x[1:] if x[0] == MARK else " " + x).encode().decode("latin-1").translate(letters))]).tobytes()) for x in plain])
+        keys = [x for x in keys if x not in self.seen]
+        own = [x[1:] if x[0] == MARK else x if x[0] == "\n" else f" {x}" for x in keys]
+        # An added token, which no unit holds, parts them.
+        parted = [x for unit in own for x in (unit, self.added[0])]
+        found = np.array(self.library.encode_batch_fast([parted], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        marks = found == self.library.token_to_id(self.added[0])
+        ids, ends = found[~marks].tobytes(), (4 * (np.flatnonzero(marks) - np.arange(len(own)))).tolist()
+        self.seen.update([(x, ids[a:b]) for x, a, b in zip(keys, [0, *ends], ends)])
+
+    def _by_unit(self, words: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose units are ``words``, each text up to one of ``ends``."""
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-            self.pieces.clear()
-        seen, units = self.seen, {}
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                # Words parted by one space or line break each are cut at those, others with the pattern.
-                plain = text and MARK not in text and " ".join(text.split()) == text.replace("\n", " ")
-                units[i] = f"{MARK}{text}".replace("\n", " \n").split(" ") if plain else [MARK + x for x in UNIT.findall(text)]
-        new = [x for x in set().union(*units.values()) if x not in seen]
-        seen.update([(x, self._unit(x)) for x in new])
-        for i, own in units.items():
-            out[i] = b"".join(map(seen.__getitem__, own))
+        coded, parts, counts = words.dictionary_encode(), [], np.zeros(len(words) + 1, np.int64)
+        keys = coded.dictionary.to_pylist()
+        if new := [x for x in keys if x not in self.seen]:
+            self._learn(new)
+        own = list(map(self.seen.__getitem__, keys))
         for x in new:
             if len(x) > LONGEST:
-                del seen[x]
-        return [np.frombuffer(x, "<u4") for x in out]
+                del self.seen[x]
+        ids = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        for k in range(0, len(codes), GATHERED):
+            part = codes[k : k + GATHERED]
+            n = sizes[part]
+            counts[k + 1 : k + 1 + len(part)] = n
+            parts.append(ids[np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        places = np.cumsum(counts)[ends]
+        return np.split(np.concatenate([np.empty(0, "<u4"), *parts]), places[:-1]) if len(places) else []
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string())
+        out: list[np.ndarray] = [None] * len(texts)
+        whole = pa.array(np.full(len(texts), not self.by_unit))
+        for x in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        at = [np.flatnonzero(x) for x in (whole, pc.and_not(uneven, whole), pc.invert(pc.or_(uneven, whole)))]
+        found = [self._whole(texts.take(pa.array(at[0])).to_pylist())]
+        listed = [[MARK + x for x in UNIT.findall(text)] for text in texts.take(pa.array(at[1])).to_pylist()]
+        found.append(self._by_unit(pa.array([x for own in listed for x in own], pa.string()), np.cumsum([len(x) for x in listed], dtype=np.int64)))
+        even = pc.replace_substring(pc.binary_join_element_wise(MARK, texts.take(pa.array(at[2])), ""), "\n", f" \n {MARK}")
+        split = pc.split_pattern(pc.replace_substring_regex(even, ENDING, rf"\1 {MARK}\2\3"), " ")
+        found.append(self._by_unit(split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)))
+        for places, arrays in zip(at, found, strict=True):
+            for i, ids in zip(places.tolist(), arrays, strict=True):
+                out[i] = ids
+        return out
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with about TOGETHER bytes of text each."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy()
+    group = (np.cumsum(sizes, dtype=np.int64) - sizes) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
 @lru_cache(maxsize=2)
@@ -123,9 +154,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, before = encoder(tokenizer), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [np.append(x, end_id) for x in library.encode(part.column(1).to_pylist())]
+            for part in _slices(batch, 1):
+                ids = [np.append(x, end_id) for x in library.encode(part.column(1))]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
