@@ -152,6 +152,17 @@ def test_tokens_round_trip(spark):
     assert token_output.read_tokens(spark, work.at("none")).count() == 0
 
 
+def test_encoder_equals_whole_texts():
+    import public_tokenizers
+
+    encoder, drawn = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    parts = ["a", "word", "it's", "12", "é", "\n", " ", "  ", "\t", "\u3000", "\x1c", "\x85", "\0", "!", "\n\n", " \n", "<|endoftext|>", "a.", "Zé;", "b?!", "3,", "été", "日本", "\r\n", "'ll", "\xa0", "😀"]
+    for _ in range(100):
+        texts = ["".join(drawn.choices(parts, k=drawn.randint(0, 12))) for _ in range(20)] + ["", "x" * 50 + " y a", "plain words, here.\nnext line"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode([]) == []
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 13))
