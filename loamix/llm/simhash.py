@@ -129,8 +129,8 @@ def fingerprint(text: str | None, shingle: int, longs: int = 1, distinct: bool =
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0 .. f<longs-1>) with one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", content: bool = False) -> DataFrame:
+    """(id, f0 .. f<longs-1>) with one row for each row of ``docs``; ``content`` adds a hash of the set of five-word shingles."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType
     names = [f"f{k}" for k in range(longs)]
@@ -138,8 +138,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bo
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle, longs, distinct) for x in batch.column(1)], np.uint64).reshape(-1, longs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].view(np.int64)) for k in range(longs))], names=["id", *names])
+            columns = [pa.array(found[:, k].view(np.int64)) for k in range(longs)]
+            if content:
+                columns.append(pa.array(np.array([xxhash.xxh64_intdigest(shingle_set(x.as_py()).tobytes(), 2) for x in batch.column(1)], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
+    names += ["content"] * content
     return source.mapInArrow(hashed, T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
@@ -240,13 +244,15 @@ def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspa
     """(id, f0 .., component_id) for each row of ``prints``.
 
     ``component_id`` is the smallest id of the rows that can be reached by links. ``verify(edges, nodes)``
-    may drop edges (u, v are nodes; ``nodes`` maps each to its fingerprint and its smallest id).
+    may drop edges (u, v are nodes; ``nodes`` maps each to its fingerprint and its smallest id). Rows are one node
+    unseen if they have one fingerprint, or, if ``prints`` has a long ``content``, one content.
     """
     names = [f"f{k}" for k in range(longs)]
     prints = work.save(prints, "prints")
     # One long names a fingerprint: itself, or the 64-bit hash of its words if it has several.
-    node = F.col("f0") if longs == 1 else F.xxhash64(*names)
-    nodes = work.save(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
+    node = F.col("content") if "content" in prints.columns else F.col("f0") if longs == 1 else F.xxhash64(*names)
+    prints = prints.withColumn("node", node)
+    nodes = work.save(prints.groupBy("node", *names).agg(F.min("id").alias("least")), "nodes")
     edges = work.save(links(nodes, scheme, longs, work), "edges")
     if verify is not None:
         edges = verify(edges, nodes)
@@ -254,7 +260,7 @@ def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspa
     grouped = work.save(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "rooted")
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = grouped.join(of_root, "root").select("node", "component_id")
-    return prints.withColumn("node", node).join(of_node, "node").select("id", *names, "component_id")
+    return prints.join(of_node, "node").select("id", *names, "component_id")
 
 
 #: For documents that share four fifths of their five-word shingles: fingerprints of 192 bits over distinct words, of which such documents
@@ -308,7 +314,8 @@ def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8,
     """(id, component_id) for each row, both as (id, hash of the text): groups of documents linked by similar shingle sets."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
     longs = 3
-    prints = fingerprints(keyed, shingle=1, longs=longs, distinct=True, id_col="id")
+    # Texts are one node only if their shingle sets are equal; one fingerprint says no more than similar words.
+    prints = fingerprints(keyed, shingle=1, longs=longs, distinct=True, id_col="id", content=True)
     return near_duplicates(prints, scheme, longs, work, verifier(keyed, work, similarity)).select("id", "component_id")
 
 

@@ -64,6 +64,15 @@ def test_similar_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+def test_similar_documents_of_one_word_set(spark):
+    words = [f"w{i}" for i in range(60)]
+    shuffled = words[:]
+    random.Random(4).shuffle(shuffled)
+    rows = [(1, " ".join(words)), (2, " ".join(shuffled)), (5, "a b c"), (6, "c b a"), (7, "a  B c")]
+    got = {r.id.id: r.component_id.id for r in simhash.similar_documents(frame(spark, rows), Workspace(spark, "t")).collect()}
+    assert got == {1: 1, 2: 2, 5: 5, 6: 6, 7: 5}
+
+
 def brute_removed(docs, window):
     first = {}
     for i, words in docs:
