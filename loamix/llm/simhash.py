@@ -13,6 +13,8 @@ members, never all pairs. Buckets of any size are handled, large ones as pairs o
 Defined results: a null text has no words; a text with no words has fingerprint zero and links like any
 other. Repeated rows each get a row. A null id sorts below all ids but never labels a group that has another id.
 Columns other than the id and the text are not read. An empty table gives no rows.
+
+Documents that are similar by their sets of shingles are found apart from this, by the shingles of their prefixes in one order of all shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,8 +131,8 @@ def fingerprint(text: str | None, shingle: int, longs: int = 1, distinct: bool =
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", content: bool = False) -> DataFrame:
-    """(id, f0 .. f<longs-1>) with one row for each row of ``docs``; ``content`` adds a hash of the set of five-word shingles."""
+def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0 .. f<longs-1>) with one row for each row of ``docs``."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType
     names = [f"f{k}" for k in range(longs)]
@@ -138,12 +140,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bo
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle, longs, distinct) for x in batch.column(1)], np.uint64).reshape(-1, longs)
-            columns = [pa.array(found[:, k].view(np.int64)) for k in range(longs)]
-            if content:
-                columns.append(pa.array(np.array([xxhash.xxh64_intdigest(shingle_set(x.as_py()).tobytes(), 2) for x in batch.column(1)], np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].view(np.int64)) for k in range(longs))], names=["id", *names])
 
-    names += ["content"] * content
     return source.mapInArrow(hashed, T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
@@ -193,6 +191,21 @@ def _shrink(found: list, node: np.ndarray) -> tuple[np.ndarray, ...]:
     return a[keep], b[keep], bits[keep]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], order: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows, sorted by ``order``, cut anew where it changes."""
+    rest = None
+    for pdf in batches:
+        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        where = rest[order].to_numpy()
+        change = np.nonzero((where[1:] != where[:-1]).any(axis=1))[0]
+        if not len(change):
+            continue
+        yield rest.iloc[: change[-1] + 1]
+        rest = rest.iloc[change[-1] + 1 :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
 def links(nodes: DataFrame, scheme: Scheme, longs: int, work: Workspace) -> DataFrame:
     """(u, v, bits): for each bucket a minimum spanning forest of its pairs within ``scheme.distance``.
 
@@ -218,17 +231,7 @@ def links(nodes: DataFrame, scheme: Scheme, longs: int, work: Workspace) -> Data
     order = ["key", "lo", "hi"]
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            where = rest[order].to_numpy()
-            change = np.nonzero((where[1:] != where[:-1]).any(axis=1))[0]
-            if not len(change):
-                continue
-            yield closed(rest.iloc[: change[-1] + 1])
-            rest = rest.iloc[change[-1] + 1 :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield closed(rest)
+        return map(closed, whole_groups(batches, order))
 
     def closed(pdf: pd.DataFrame) -> pd.DataFrame:
         where = pdf[order].to_numpy()
@@ -240,50 +243,173 @@ def links(nodes: DataFrame, scheme: Scheme, longs: int, work: Workspace) -> Data
     return edges.groupBy("u", "v").agg(F.min("bits").alias("bits"))
 
 
-def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspace, verify=None) -> DataFrame:
+def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspace) -> DataFrame:
     """(id, f0 .., component_id) for each row of ``prints``.
 
-    ``component_id`` is the smallest id of the rows that can be reached by links. ``verify(edges, nodes)``
-    may drop edges (u, v are nodes; ``nodes`` maps each to its fingerprint and its smallest id). Rows are one node
-    unseen if they have one fingerprint, or, if ``prints`` has a long ``content``, one content.
+    ``component_id`` is the smallest id of the rows that can be reached by links.
     """
     names = [f"f{k}" for k in range(longs)]
-    prints = work.save(prints, "prints")
     # One long names a fingerprint: itself, or the 64-bit hash of its words if it has several.
-    node = F.col("content") if "content" in prints.columns else F.col("f0") if longs == 1 else F.xxhash64(*names)
-    prints = prints.withColumn("node", node)
+    prints = work.save(prints, "prints").withColumn("node", F.col("f0") if longs == 1 else F.xxhash64(*names))
     nodes = work.save(prints.groupBy("node", *names).agg(F.min("id").alias("least")), "nodes")
     edges = work.save(links(nodes, scheme, longs, work), "edges")
-    if verify is not None:
-        edges = verify(edges, nodes)
-    roots = components(edges.select("u", "v"), work)
+    return labelled(prints, nodes, components(edges.select("u", "v"), work), work).select("id", *names, "component_id")
+
+
+def labelled(prints: DataFrame, nodes: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """``prints`` with component_id: the smallest id of the nodes with the same root."""
     grouped = work.save(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "rooted")
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = grouped.join(of_root, "root").select("node", "component_id")
-    return prints.join(of_node, "node").select("id", *names, "component_id")
+    return prints.join(grouped.join(of_root, "root").select("node", "component_id"), "node")
 
 
-#: For documents that share four fifths of their five-word shingles: fingerprints of 192 bits over distinct words, of which such documents
-#: share more than nine tenths; three pairs of segments by key.
-SIMILAR = Scheme(((0, 23), (23, 23), (46, 23), (69, 23), (92, 23), (115, 23)), (((), (0, 1)), ((), (2, 3)), ((), (4, 5))), 28)
+#: Documents sampled for common shingles, and how many of these are told apart by their counts.
+SAMPLE, COMMON = 8_000, 500_000
+#: Bits of a sketch, in longs; neighbours in a bucket that are tried at first.
+SKETCH, NEIGHBOURS = 3, 4
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    pieces = {b" ".join(tokens[i : i + width]) for i in range(max(1, len(tokens) - width + 1))} if tokens else set()
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(p, 1) for p in pieces), np.uint64, len(pieces)))
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    n = max(1, len(tokens) - width + 1)
+    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 1) for a, b in zip(starts, ends[len(tokens) - n :].tolist(), strict=True)), np.uint64, n))
+
+
+def least_shared(size, share: float):
+    """The fewest shingles that are ``share`` of ``size``."""
+    return np.ceil(share * size - 1e-9).astype(np.int64)
+
+
+def common_shingles(keyed: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts) of the shingles that several documents of a sample have."""
+    rows = keyed.count()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["key"])
+
+    sample = keyed.select("text").sample(min(1.0, SAMPLE / max(1, rows)), 3)
+    counts = sample.mapInArrow(listed, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    keys = counts["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], counts["n"].to_numpy(np.int64)[order]
+
+
+def shingle_prints(keyed: DataFrame, similarity: float, common, width: int = 5) -> DataFrame:
+    """(id, node, size, s0 .., prefix) for each row: hash and size of the shingle set, parities of its shingles, and its prefix.
+
+    All sets are ordered alike, common shingles last, and a set's prefix is one shingle longer than the share that a similar set may
+    lack: similar sets meet in their prefixes. ``common`` only moves shingles in that order, so it costs or saves time and no pair.
+    """
+    names = [f"s{k}" for k in range(SKETCH)]
+    kind = T.StructType([keyed.schema["id"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                nodes, sizes, bits, prefixes = [], [], [], []
+                for text in part.column(1):
+                    shingles = shingle_set(text.as_py(), width)
+                    nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 2))
+                    sizes.append(len(shingles))
+                    bits.append(np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1)
+                    times = np.zeros(len(shingles), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                        times = np.where(known[at] == shingles, counts[at], 0)
+                    length = len(shingles) - int(least_shared(np.int64(len(shingles)), similarity)) + 1 if len(shingles) else 0
+                    prefixes.append(shingles[np.argsort(times, kind="stable")[:length]])
+                sketches = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<i8")
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(sketches[:, k].copy()) for k in range(SKETCH)), lists], names=["id", "node", "size", *names, "prefix"])
+
+    return keyed.mapInArrow(hashed, kind)
+
+
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, place, s0 .., rows): the prefix shingles that several nodes have; ``rows`` tells how many."""
+    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    entries = entries.withColumn("rows", F.count("*").over(Window.partitionBy("key")).cast("int")).where("rows > 1")
+    return entries.join(nodes.select("node", *[f"s{k}" for k in range(SKETCH)]), "node")
+
+
+def candidates(entries: DataFrame, order: list[str], similarity: float, nearest: int | None) -> DataFrame:
+    """(u, v), each once: pairs of a bucket whose sizes, places and sketches allow the similarity.
+
+    With ``nearest`` only that many next rows, by size, and the bucket's first are tried for each row; else all rows of another root.
+    """
+    names = [f"s{k}" for k in range(SKETCH)]
+    share = similarity / (1 + similarity)
+    extra = ["root"] if nearest is None else []
+
+    def paired(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        where = pdf[order].to_numpy()
+        group = np.concatenate([[0], np.cumsum((where[1:] != where[:-1]).any(axis=1))])
+        node, size, place = (pdf[c].to_numpy(np.int64) for c in ("node", "size", "place"))
+        words = pdf[names].to_numpy(np.int64).view(np.uint64)
+        root = pdf["root"].to_numpy(np.int64) if extra else None
+        found = []
+
+        def tried(a: np.ndarray, b: np.ndarray) -> None:
+            if root is not None:
+                other = root[a] != root[b]
+                a, b = a[other], b[other]
+            total = size[a] + size[b]
+            need = least_shared(total, share)
+            # The first shingle that both have is followed by as many more as they share.
+            good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
+            a, b, most = a[good], b[good], (total - 2 * need)[good]
+            # Every differing bit is a shingle that one of them lacks.
+            good = (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most) & (node[a] != node[b])
+            if good.any():
+                x, y = node[a[good]], node[b[good]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+        active, step = np.arange(len(group) - 1), 1
+        while len(active) and (nearest is None or step <= nearest):
+            active = active[active + step < len(group)]
+            active = active[group[active] == group[active + step]]
+            tried(active, active + step)
+            step += 1
+            if sum(map(len, found)) > 1 << 19:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+                found.clear()
+        if nearest is not None:
+            first = np.searchsorted(group, group)
+            far = np.nonzero(np.arange(len(group)) - first > nearest)[0]
+            tried(first[far], far)
+        if found:
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, order):
+            yield from paired(pdf)
+
+    rows = entries.select(*order, "node", "size", "place", *names, *extra)
+    rows = rows.repartition(partitions(entries.sparkSession), *order).sortWithinPartitions(*order, "size", "node")
+    return rows.mapInPandas(compared, "u long, v long").distinct()
 
 
 def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int = 5):
-    """For ``near_duplicates``: keeps edges between documents whose shingle sets have at least that Jaccard similarity.
+    """``verify(edges, nodes, name)`` keeps edges between documents whose shingle sets have at least that Jaccard similarity.
 
     ``keyed`` has id and text. Sets are fetched for the documents that have an edge only.
     """
 
-    def verify(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    def verify(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
-        wanted = work.save(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id")), "wanted")
+        wanted = work.save(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id")), f"wanted-{name}")
         texts = keyed.join(broadcast_if_small(wanted, 64), "id").select("node", "text")
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +418,7 @@ def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
         # Documents of one id and text have equal sets; one of them is enough.
-        sets = work.save(texts.mapInArrow(listed, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        sets = work.save(texts.mapInArrow(listed, "node long, shingles binary").dropDuplicates(["node"]), f"sets-{name}")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -305,18 +431,29 @@ def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int =
 
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        return work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), "verified")
+        return work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), f"verified-{name}")
 
     return verify
 
 
-def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for each row, both as (id, hash of the text): groups of documents linked by similar shingle sets."""
+def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row, both as (id, hash of the text): groups of documents linked by similar shingle sets.
+
+    Documents of one shingle set are one node, told by a 64-bit hash of the set. Every two nodes whose Jaccard similarity is ``similarity`` or more share a shingle of their prefixes
+    and pass all filters, so each such pair is either verified or joined by verified pairs.
+    """
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
-    longs = 3
-    # Texts are one node only if their shingle sets are equal; one fingerprint says no more than similar words.
-    prints = fingerprints(keyed, shingle=1, longs=longs, distinct=True, id_col="id", content=True)
-    return near_duplicates(prints, scheme, longs, work, verifier(keyed, work, similarity)).select("id", "component_id")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed))
+    prints = work.save(shingle_prints(keyed, similarity, common), "prints")
+    parts = [F.first(c).alias(c) for c in ("size", *(f"s{k}" for k in range(SKETCH)), "prefix")]
+    nodes = work.save(prints.groupBy("node").agg(F.min("id").alias("least"), *parts), "nodes")
+    entries = work.save(shared_shingles(nodes), "entries")
+    verify = verifier(keyed, work, similarity)
+    # Neighbours first: in a large group of copies they join almost all.
+    tried = work.save(candidates(entries, ["key"], similarity, NEIGHBOURS), "tried")
+    edges = verify(tried, nodes, "near")
+    roots = work.save(components(edges, work), "roots")
+    return labelled(prints, nodes, roots, work).select("id", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

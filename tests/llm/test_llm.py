@@ -73,6 +73,33 @@ def test_similar_documents_of_one_word_set(spark):
     assert got == {1: 1, 2: 2, 5: 5, 6: 6, 7: 5}
 
 
+def brute_groups(rows, similarity=0.8):
+    """Smallest id of the documents reached by pairs of that Jaccard similarity."""
+    sets = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for i, w in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+def test_similar_documents_of_moved_passages(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        n = rng.randrange(20, 50)
+        copies = [base + [word() for _ in range(n)], base[: 200 - n], base[:60] + [word() for _ in range(n // 3)] + base[60 + n // 3 :]]
+        rows += [(10 * k + i, w) for i, w in enumerate([base, *copies])]
+    want = brute_groups(rows)
+    assert 100 < sum(i != c for i, c in want.items()) < 180
+    got = {r.id.id: r.component_id.id for r in simhash.similar_documents(frame(spark, [(i, " ".join(w)) for i, w in rows]), Workspace(spark, "t")).collect()}
+    assert got == want
+
+
 def brute_removed(docs, window):
     first = {}
     for i, words in docs:
