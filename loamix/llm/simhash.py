@@ -264,9 +264,9 @@ def labelled(prints: DataFrame, nodes: DataFrame, roots: DataFrame, work: Worksp
 
 
 #: Documents sampled for common shingles, and how many of these are told apart by their counts.
-SAMPLE, COMMON = 8_000, 500_000
-#: Bits of a sketch, in longs; neighbours in a bucket that are tried at first.
-SKETCH, NEIGHBOURS = 3, 4
+SAMPLE, COMMON = 8_000, 100_000
+#: Bits of a sketch, in longs; neighbours in a bucket that are looked at first, and how many of a node's are verified first.
+SKETCH, NEIGHBOURS, BEST = 3, 4, 2
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -315,8 +315,8 @@ def shingle_prints(keyed: DataFrame, similarity: float, common, width: int = 5)
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 nodes, sizes, bits, prefixes = [], [], [], []
                 for text in part.column(1):
                     shingles = shingle_set(text.as_py(), width)
@@ -337,15 +337,16 @@ def shingle_prints(keyed: DataFrame, similarity: float, common, width: int = 5)
     return keyed.mapInArrow(hashed, kind)
 
 
-def shared_shingles(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, place, s0 .., rows): the prefix shingles that several nodes have; ``rows`` tells how many."""
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    entries = entries.withColumn("rows", F.count("*").over(Window.partitionBy("key")).cast("int")).where("rows > 1")
-    return entries.join(nodes.select("node", *[f"s{k}" for k in range(SKETCH)]), "node")
+def shared_shingles(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, size, place, s0 ..): the prefix shingles that several nodes have."""
+    entries = prints.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    bucket = Window.partitionBy("key")
+    entries = entries.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket)).where("low < high").drop("low", "high")
+    return entries.dropDuplicates(["key", "node"]).join(nodes.select("node", *[f"s{k}" for k in range(SKETCH)]), "node")
 
 
 def candidates(entries: DataFrame, order: list[str], similarity: float, nearest: int | None) -> DataFrame:
-    """(u, v), each once: pairs of a bucket whose sizes, places and sketches allow the similarity.
+    """(u, v, bits), each once: pairs of a bucket whose sizes, places and sketches allow the similarity.
 
     With ``nearest`` only that many next rows, by size, and the bucket's first are tried for each row; else all rows of another root.
     """
@@ -371,10 +372,11 @@ def candidates(entries: DataFrame, order: list[str], similarity: float, nearest:
             good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
             a, b, most = a[good], b[good], (total - 2 * need)[good]
             # Every differing bit is a shingle that one of them lacks.
-            good = (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most) & (node[a] != node[b])
+            bits = np.bitwise_count(words[a] ^ words[b]).sum(axis=1).astype(np.int64)
+            good = (bits <= most) & (node[a] != node[b])
             if good.any():
                 x, y = node[a[good]], node[b[good]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), bits[good]], axis=1))
 
         active, step = np.arange(len(group) - 1), 1
         while len(active) and (nearest is None or step <= nearest):
@@ -383,14 +385,14 @@ def candidates(entries: DataFrame, order: list[str], similarity: float, nearest:
             tried(active, active + step)
             step += 1
             if sum(map(len, found)) > 1 << 19:
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v", "bits"])
                 found.clear()
         if nearest is not None:
             first = np.searchsorted(group, group)
             far = np.nonzero(np.arange(len(group)) - first > nearest)[0]
             tried(first[far], far)
         if found:
-            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v", "bits"])
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, order):
@@ -398,7 +400,7 @@ def candidates(entries: DataFrame, order: list[str], similarity: float, nearest:
 
     rows = entries.select(*order, "node", "size", "place", *names, *extra)
     rows = rows.repartition(partitions(entries.sparkSession), *order).sortWithinPartitions(*order, "size", "node")
-    return rows.mapInPandas(compared, "u long, v long").distinct()
+    return rows.mapInPandas(compared, "u long, v long, bits long").distinct()
 
 
 def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int = 5):
@@ -431,7 +433,9 @@ def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int =
 
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        return work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), f"verified-{name}")
+        found = work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), f"verified-{name}")
+        work.drop(f"sets-{name}")
+        return found
 
     return verify
 
@@ -445,15 +449,29 @@ def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8,
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed))
     prints = work.save(shingle_prints(keyed, similarity, common), "prints")
-    parts = [F.first(c).alias(c) for c in ("size", *(f"s{k}" for k in range(SKETCH)), "prefix")]
-    nodes = work.save(prints.groupBy("node").agg(F.min("id").alias("least"), *parts), "nodes")
-    entries = work.save(shared_shingles(nodes), "entries")
+    sketches = [F.first(c).alias(c) for c in (f"s{k}" for k in range(SKETCH))]
+    nodes = work.save(prints.groupBy("node").agg(F.min("id").alias("least"), *sketches), "nodes")
+    entries = work.save(shared_shingles(prints, nodes), "entries")
+    ids = work.save(prints.select("id", "node"), "ids")
+    work.drop("prints")
     verify = verifier(keyed, work, similarity)
-    # Neighbours first: in a large group of copies they join almost all.
-    tried = work.save(candidates(entries, ["key"], similarity, NEIGHBOURS), "tried")
+    # Nearest neighbours first: in a group of copies they join almost all.
+    best = F.row_number().over(Window.partitionBy("v").orderBy("bits", "u"))
+    tried = work.save(candidates(entries, ["key"], similarity, NEIGHBOURS).withColumn("best", best).where(f"best <= {BEST}").select("u", "v"), "tried")
     edges = verify(tried, nodes, "near")
     roots = work.save(components(edges, work), "roots")
-    return labelled(prints, nodes, roots, work).select("id", "component_id")
+    # Then every pair of a bucket that is not joined yet; large buckets are dealt out as pairs of blocks.
+    apart = entries.join(broadcast_if_small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bucket = Window.partitionBy("key")
+    apart = apart.withColumn("one", F.min("root").over(bucket) == F.max("root").over(bucket)).withColumn("rows", F.count("*").over(bucket)).where("not one")
+    apart = apart.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    more = work.save(candidates(apart, ["key", "lo", "hi"], similarity, None).select("u", "v").join(tried, ["u", "v"], "left_anti"), "more")
+    if more.limit(1).count():
+        edges = edges.unionByName(verify(more, nodes, "far"))
+        roots = work.save(components(edges, work, "cc-far"), "roots-far")
+    return labelled(ids, nodes, roots, work).select("id", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,21 @@ def test_similar_documents_of_moved_passages(spark):
     assert got == want
 
 
+def test_similar_documents_among_template_pages(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "common_shingles", lambda keyed: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(100000)}"
+    page = [word() for _ in range(200)]
+    rows = [(1, page + [word() for _ in range(5)]), (2, page + [word() for _ in range(35)])]
+    for i in range(60):
+        cut = (i * 37) % 140
+        rows.append((10 + i, page[:cut] + page[cut + 60 :] + [word() for _ in range(52 if i % 3 == 0 else 68 + i % 25)]))
+    want = brute_groups(rows)
+    assert want[2] == 1
+    got = {r.id.id: r.component_id.id for r in simhash.similar_documents(frame(spark, [(i, " ".join(w)) for i, w in rows]), Workspace(spark, "t")).collect()}
+    assert got == want
+
+
 def brute_removed(docs, window):
     first = {}
     for i, words in docs:
