@@ -228,6 +228,43 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>"), Workspace(spark, "t")).count() == 0
 
 
+def brute_links(x):
+    """(links of each row, smallest row reached) by comparing all rows of x."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    label = np.arange(len(x))
+    while True:
+        least = np.array([label[row].min() for row in near])
+        if (least == label).all():
+            return near.sum(1) - 1, label
+        label = least
+
+
+@pytest.mark.parametrize("dim", [2, 3, 8, 64])
+def test_embeddings_of_few_true_dimensions(spark, monkeypatch, dim):
+    # Small blocks, so that lists are many and are cut.
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(600, dim))
+    x[300:] = x[rng.integers(0, 30, 300)] + rng.normal(size=(300, dim)) * 0.25
+    x = x @ np.linalg.qr(rng.normal(size=(64, dim)))[0].T
+    rows = [(i, v.tolist(), "clash", -1) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, n int")
+    got = {r.id: r for r in embeddings.near_duplicates(docs, Workspace(spark, "t")).collect()}
+    links, label = brute_links(x)
+    assert links.sum() > 2000
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+def test_embeddings_null_and_repeated_ids_and_lengths(spark):
+    one, two, short = [1.0, 2.0, 3.0], [1.0, 2.1, 3.0], [1.0, 2.0]
+    rows = [(5, one), (5, two), (None, one), (7, short), (8, short), (9, [2.0, 4.0]), (10, [-1.0, 0.0, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Workspace(spark, "t")).collect()
+    got = sorted((r.id or 0, r.n_links, r.component_id, r.kept) for r in found)
+    assert got == [(0, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False), (10, 0, 10, True)]
+
+
 def brute_segments(s):
     """Maximal scoring segments by recursion: the best segment, then both sides."""
     if not len(s):
