@@ -5,11 +5,15 @@ shared folder and reads it again as the next stage's documents. All stages but t
 their input. Documents are told apart by id and text, so nulls and repeated rows are handled by each stage:
 repeated rows are scored alike, are one group for the near-duplicate stage, are judged alike for contamination, and are documents of their own for
 mixing and writing.
+
+Defined results: all columns of the input come back unchanged, whatever their names; a row travels as one struct beside the stage's
+own columns. A null text counts as an empty one and stays null. An empty table gives an empty table from every stage. Very long texts are
+handled whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamix.llm import decontaminate, mixing, simhash, token_output, toxicity
@@ -19,23 +23,29 @@ from loamix.plans.shared import Workspace, broadcast_if_small
 TOXIC = 0.3
 
 
-def _key(docs: DataFrame):
+def _key() -> Column:
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"))
 
 
-def _once(docs: DataFrame, keys: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """The documents of ``keys`` (key, rows, ...), one row for each; ``rows`` tells how many rows of ``docs`` have the key."""
-    named = docs.withColumn("_key", _key(docs))
-    keys = keys.select(F.col("key.id").alias("_id"), F.col("key.copy").alias("_copy"), "rows", *more)
-    same = F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.copy") == F.col("_copy"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = named.join(broadcast_if_small(keys, 64), same)
-    single = found.where("rows = 1").select(*columns, *more)
-    again = found.where("rows > 1").dropDuplicates(["_id", "_copy"]).select(*columns, *more)
-    return single.unionByName(again)
+def _named(docs: DataFrame) -> DataFrame:
+    """(key, row): each row of ``docs`` as one struct."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(_key().alias("key"), F.struct(*columns).alias("row"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.copy") == F.col(f"{b}.copy"))
+
+
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row, ...): one row of ``docs`` for each of ``keys`` (wanted, rows, ...); ``rows`` tells how many rows of ``docs`` have the key."""
+    found = _named(docs).join(broadcast_if_small(keys, 64), _same("key", "wanted"))
+    again = found.where("rows > 1").dropDuplicates(["key"])
+    return found.where("rows = 1").unionByName(again)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose toxicity score is below TOXIC."""
     model = toxicity.fitted(spark, docs, sf_dir, Workspace(spark, "toxicity"))
     return toxicity.keep_clean(docs, model, TOXIC)
 
@@ -44,28 +54,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document with the smallest id, and of one id the one with the smallest hash of its text, of each group."""
     work = Workspace(spark, "near-duplicates")
     groups = simhash.similar_documents(docs, work)
-    kept = groups.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("key")).agg(F.count("*").alias("rows"))
-    return _once(docs, work.save(kept, "kept"))
+    kept = groups.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("wanted")).agg(F.count("*").alias("rows"))
+    return _once(docs, work.save(kept, "kept")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in which no window of a benchmark item occurs."""
     hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Workspace(spark, "decontamination"))
-    hits = broadcast_if_small(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_copy")), 32)
-    named = docs.withColumn("_key", _key(docs))
-    clean = named.join(hits, F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.copy") == F.col("_copy")), "left_anti")
-    return clean.drop("_key")
+    hit = hits.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("copy")).alias("hit"))
+    return _named(docs).join(broadcast_if_small(hit, 32), _same("key", "hit"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     work = Workspace(spark, "mixing")
-    taken = mixing.mix(docs.select(_key(docs).alias("doc_id"), "text", "source"), work)
-    keys = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    once = _once(docs, work.save(keys, "keys"), ("copies",))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
+    taken = mixing.mix(docs.select(_key().alias("doc_id"), "text", "source"), work)
+    keys = taken.groupBy(F.col("doc_id").alias("wanted")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    once = _once(docs, work.save(keys, "keys"))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the documents as token files; (doc_id, start, n_tokens, ids_crc32) of each from what is read back."""
     return token_output.token_files(docs, Workspace(spark, "tokens"))
 
 
