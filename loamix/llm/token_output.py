@@ -8,8 +8,8 @@ stream need only one sum per file.
 
 Encoding is done by the tokenizers library. If the tokenizer is byte-level BPE with its usual pattern, a text
 is the concatenation of the encodings of its units (a run of non-space characters with the space before it, or
-white space), since that pattern never joins two units; each worker then keeps the ids of units it
-has seen, gives the library only new ones, and gathers the ids of texts as arrays. Other tokenizers, and texts that hold
+white space), since that pattern never joins two units; each worker then keeps the ids of a bounded number of units it
+has met lately, gives the library only new ones, and gathers the ids of texts as arrays. Other tokenizers, and texts that hold
 an added token's string, are encoded whole.
 
 Defined results: a null text is an empty one and has only the end id. Repeated ids follow each other, ordered by the hash of
@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,10 @@ UNEVEN = f"(?:^|[ \n])(?:[ \n]|$)|[\\x00\x1c-\x1f{SPACE.replace(' ', '', 1)}]".r
 LATIN, ENDING = re.compile("\\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), "([A-Za-z0-9])([.,;:!?]+)( |$)"
 #: Bytes that stand for themselves in byte-level BPE; the others are moved above them.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Units that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 1_000_000, 40
+#: Units of a worker's young generation, some 200 bytes each; the old one has as many. And the longest that is remembered.
+REMEMBERED, LONGEST = 150_000, 40
 #: Bytes of text that are encoded together (one text may have more), and words whose ids are gathered together.
-TOGETHER, GATHERED = 16 << 20, 1 << 19
+TOGETHER, GATHERED = 8 << 20, 1 << 19
 
 
 class Encoder:
@@ -65,37 +66,47 @@ class Encoder:
         self.by_unit = bool(self.added) and about.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and about["model"].get("type") == "BPE"
         others = iter(range(256, 512))
         self.letters = {b: b if b in PRINTABLE else next(others) for b in range(256)}
-        self.seen: dict[str, bytes] = {}
+        # Units that were met since the old generation was replaced, and those met in the time before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learned(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of new units: keys with a leading mark stand for the rest, others but a line break's for themselves after a space."""
         model, letters = self.library.model, self.letters
         plain = list(filter(LATIN.fullmatch, keys))
-        self.seen.update([(x, array("I", [y.id for y in model.tokenize((x[1:] if x[0] == MARK else " " + x).encode().decode("latin-1").translate(letters))]).tobytes()) for x in plain])
-        keys = [x for x in keys if x not in self.seen]
+        found = {x: array("I", [y.id for y in model.tokenize((x[1:] if x[0] == MARK else " " + x).encode().decode("latin-1").translate(letters))]).tobytes() for x in plain}
+        keys = [x for x in keys if x not in found]
         own = [x[1:] if x[0] == MARK else x if x[0] == "\n" else f" {x}" for x in keys]
         # An added token, which no unit holds, parts them.
         parted = [x for unit in own for x in (unit, self.added[0])]
-        found = np.array(self.library.encode_batch_fast([parted], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        marks = found == self.library.token_to_id(self.added[0])
-        ids, ends = found[~marks].tobytes(), (4 * (np.flatnonzero(marks) - np.arange(len(own)))).tolist()
-        self.seen.update([(x, ids[a:b]) for x, a, b in zip(keys, [0, *ends], ends)])
+        coded = np.array(self.library.encode_batch_fast([parted], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        marks = coded == self.library.token_to_id(self.added[0])
+        ids, ends = coded[~marks].tobytes(), (4 * (np.flatnonzero(marks) - np.arange(len(own)))).tolist()
+        found.update([(x, ids[a:b]) for x, a, b in zip(keys, [0, *ends], ends)])
+        return found
+
+    def _ids_of(self, keys: list[str]) -> list[bytes]:
+        """Ids of different units. What is remembered is bounded: units that are not met again go with their generation."""
+        young, old = self.young, self.old
+        missing = [x for x in keys if x not in young]
+        young.update([(x, old[x]) for x in missing if x in old])
+        if new := [x for x in missing if x not in young]:
+            young.update(self._learned(new))
+        own = list(map(young.__getitem__, keys))
+        for x in new:
+            if len(x) > LONGEST:
+                del young[x]
+        if len(young) > REMEMBERED:
+            self.old, self.young = dict(islice(young.items(), len(young) - REMEMBERED, None)), {}
+        return own
 
     def _by_unit(self, words: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
         """Ids of texts whose units are ``words``, each text up to one of ``ends``."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         coded, parts, counts = words.dictionary_encode(), [], np.zeros(len(words) + 1, np.int64)
-        keys = coded.dictionary.to_pylist()
-        if new := [x for x in keys if x not in self.seen]:
-            self._learn(new)
-        own = list(map(self.seen.__getitem__, keys))
-        for x in new:
-            if len(x) > LONGEST:
-                del self.seen[x]
+        own = self._ids_of(coded.dictionary.to_pylist())
         ids = np.frombuffer(b"".join(own), "<u4")
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
@@ -145,11 +156,16 @@ def _list(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32)))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stripe_mb: int = 64) -> None:
-    """Encode every text and write (doc_id, row_offset, n_tokens, tokens) as ORC under ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_mb: int = 256, stripe_mb: int = 64) -> None:
+    """Encode every text and write (doc_id, row_offset, n_tokens, tokens) as ORC under ``path``.
+
+    There are as many files as shuffle partitions, or more, so that none holds more than about ``file_mb`` of text.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = source.withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(files or partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = partitions(docs.sparkSession, -(-size // (file_mb << 20)))
+    ordered = ordered.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, before = encoder(tokenizer), 0
