@@ -10,8 +10,8 @@ segments of a text. For clean text the best of n tokens follows an extreme-value
 significant if its expectation K n exp(-lambda s) is small; the calibrated segment statistics of a document enter a logistic
 curve fitted on the training rows.
 
-The model is bounded: at most ``max_rows`` labelled rows (least hash of the id first) and ``max_words`` words and prefixes
-(most frequent first). Everything is scored, whole texts included.
+The model is fitted on at most ``max_rows`` labelled rows (least hash of the id first), which bounds its words; a word or prefix with fewer than
+``min_contexts`` contexts says nothing beyond its prefix. Everything is scored, whole texts included.
 
 Defined results: null and empty texts have no words and get the curve's value for no segment. Repeated
 rows each get a row. Rows with a null id or label teach nothing; of several labels of an id the greatest holds. If no rows or only one class
@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -38,13 +38,11 @@ from loamix.plans.shared import Workspace
 PYTHON_WORD = re.compile(r"[^\W_]+")
 #: Taken off every token's score, and the expectation below which a segment is significant.
 DRIFT, SIGNIFICANT = 0.05, 0.05
-#: Words of which a worker keeps the scores.
-REMEMBERED = 300_000
 
 
 @dataclass
 class Model:
-    """counts: contexts of each unit (clean, toxic); share: of toxic contexts among all; rate, size: of the extreme-value law."""
+    """counts: contexts of each unit (clean, toxic); share: of toxic contexts among all; rate, size: of the extreme-value law; odds: scores of units."""
 
     counts: dict[str, tuple[float, float]] = field(default_factory=dict)
     share: float = 0.5
@@ -53,6 +51,7 @@ class Model:
     size: float = 1.0
     weights: np.ndarray | None = None
     base: float = 0.5
+    odds: dict[str, float] | None = None
 
     def word(self, word: str, without: int | None = None) -> float:
         """Score of a word; ``without``: the class of which one context is left out."""
@@ -64,14 +63,25 @@ class Model:
                 p = (max(toxic, 0) + self.prior * p) / (max(clean, 0) + max(toxic, 0) + self.prior)
         return math.log(p / (1 - p)) - math.log(self.share / (1 - self.share)) - DRIFT
 
+    def compact(self) -> Model:
+        """The same scores from one number for each unit, without the counts."""
+        odds = {u: self.word(u) if not u.endswith("*") else self.word(u[:-1] + "**") for u in self.counts}
+        return replace(self, counts={}, odds=odds)
+
     def scores(self, text: str | None, without: int | None = None) -> np.ndarray:
-        known = self.__dict__.setdefault(f"_known{without}", {})
-        if len(known) > REMEMBERED:
-            known.clear()
         words = PYTHON_WORD.findall((text or "").lower())
-        for w in set(words).difference(known):
-            known[w] = self.word(w, without)
-        return np.fromiter(map(known.__getitem__, words), float, len(words))
+        if self.odds is None:
+            known = {w: self.word(w, without) for w in set(words)}
+            return np.fromiter(map(known.__getitem__, words), float, len(words))
+        odds = self.odds
+        # The word itself, else its longest known prefix.
+        return np.fromiter([x if (x := odds.get(w)) is not None else self._prefix(w) for w in words], float, len(words))
+
+    def _prefix(self, word: str) -> float:
+        for k in range(min(7, len(word) - 1), 4, -1):
+            if (x := self.odds.get(word[:k] + "*")) is not None:
+                return x
+        return -DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -148,7 +158,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, max_words: int = 100_000, prior: float = 10.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, min_contexts: int = 3, prior: float = 10.0) -> Model:
     """Fit on the rows of ``labels``; the caller leaves out those to be held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -160,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, id_col: str = "doc_
     counts = _units(train).groupBy("unit", "context").agg(F.min("label").alias("least"), F.max("label").alias("most")).groupBy("unit").agg(F.sum(1 - F.col("least")).alias("clean"), F.sum("most").alias("toxic"))
     counts = work.save(counts, "counts")
     clean, bad = (float(x or 0) for x in counts.where("not endswith(unit, '*')").agg(F.sum("clean"), F.sum("toxic")).first())
-    top = counts.where("clean + toxic > 2").orderBy(F.desc(F.col("clean") + F.col("toxic")), "unit").limit(max_words).toPandas()
+    top = counts.where(F.col("clean") + F.col("toxic") >= min_contexts).toPandas()
     model.share = (bad + 1) / (clean + bad + 2)
     model.counts = dict(zip(top["unit"], zip(top["clean"].tolist(), top["toxic"].tolist(), strict=True), strict=True))
     model.prior = prior
@@ -228,7 +238,7 @@ def probability(text: str | None, model: Model) -> float:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of ``docs``."""
     source = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.compact())
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,7 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``limit``."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model.compact()), docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
