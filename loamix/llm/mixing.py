@@ -4,15 +4,16 @@ A document's size is its number of words. Sources get targets by weight, capped
 size. A source's target is met by whole passes over it and, for the rest, by a subset of its documents:
 the documents are counted by exact size; each size gives its even share of the budget rounded down; what is
 left is fitted by a bounded-knapsack dynamic programme over the sizes and remaining counts; of each size the
-documents with the smallest seeded hashes are taken.
+documents with the smallest seeded hashes are taken. If that misses the budget, shares are given back, in the end all of
+them, so that the sum is the largest there is.
 
 Only counts of sizes meet in one task, one group of rows for each source: no more rows than there are different
-sizes. The documents themselves are chosen by comparing hashes: a size's documents are counted in 256 ranges
+sizes. The documents themselves are chosen by comparing hashes: n documents of one size are counted in about sqrt(n) ranges
 of the hash, ranges below the cut are taken whole, and only the range with the cut is ranked, so
-that a hot source or a group of copies of one size is not gathered.
+that a hot source or size is not gathered.
 
 Defined results: a null text has size 0, as an empty one; a document of size 0 takes 0 words. A null
-source is a source of its own, ordered last. Repeated rows are documents of their own. A source of size 0
+source is a source of its own, ordered last. Repeated rows are documents of their own; of equal ones some are taken, no matter which. A source of size 0
 has target 0. An empty table gives no rows. Columns other than id, text and source are not read.
 """
 
@@ -29,74 +30,88 @@ from loamix.plans.shared import Workspace, broadcast_if_small
 
 #: Weights of the sources in order, and how often a document may be taken.
 WEIGHTS, REPEATS = (1, 2, 3), 3
-RANGES = 256
-#: Largest budget that the dynamic programme fits, in words; larger remainders are first lowered by the largest sizes.
-BUDGET = 1 << 17
+#: Words that the largest sizes leave to the first try of the dynamic programme; a try that misses the budget is made again over all of it.
+FIRST_TRY = 1 << 16
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+def sized(docs: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, hash): ``hash`` in 0 .. 2^32 - 1 is of the id and the text."""
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text), F.lit(seed)), F.lit(1 << 32))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), drawn.alias("hash"))
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> list[Fraction]:
     """Exact targets of sources in order: shares of the total by weight, none above ``repeats`` times its size."""
-    out: list[Fraction | None] = [None] * len(sizes)
-    left = Fraction(sum(sizes))
-    while any(t is None for t in out):
-        free = [i for i, t in enumerate(out) if t is None]
-        each = left / sum(weights[i % len(weights)] for i in free)
-        over = [i for i in free if each * weights[i % len(weights)] > repeats * sizes[i]]
-        for i in over or free:
-            out[i] = Fraction(repeats * sizes[i]) if over else each * weights[i % len(weights)]
-            left -= out[i]
+    weigh = [weights[i % len(weights)] for i in range(len(sizes))]
+    out = [Fraction(0)] * len(sizes)
+    left, sum_of = sum(sizes), sum(weigh)
+    # Sources reach their limit in the order of limit by weight; what remains is shared by those that do not.
+    order = sorted(range(len(sizes)), key=lambda i: Fraction(repeats * sizes[i], weigh[i]))
+    for k, i in enumerate(order):
+        if left * weigh[i] <= repeats * sizes[i] * sum_of:
+            for j in order[k:]:
+                out[j] = Fraction(left * weigh[j], sum_of)
+            break
+        out[i] = Fraction(repeats * sizes[i])
+        left -= repeats * sizes[i]
+        sum_of -= weigh[i]
     return out
 
 
+def _knapsack(sizes: np.ndarray, room: np.ndarray, left: int) -> np.ndarray:
+    """How many of each size, at most ``room``, to take for the largest sum that is not above ``left``."""
+    take = np.zeros(len(sizes), np.int64)
+    unit = int(np.gcd.reduce(sizes))
+    sizes, left = sizes // unit, left // unit
+    # For each sum the step that first made it; counts go in as powers of two, each a step.
+    first = np.full(left + 1, -1, np.int32)
+    first[0] = 0
+    steps: list[tuple[int, int]] = []
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n, part = min(int(room[i]), left // int(sizes[i])), 1
+        while n > 0 and first[left] < 0:
+            part = min(part, n)
+            jump = part * int(sizes[i])
+            new = np.flatnonzero((first[jump:] < 0) & (first[: left + 1 - jump] >= 0))
+            steps.append((i, part))
+            first[new + jump] = len(steps)
+            n -= part
+            part *= 2
+    at = int(np.flatnonzero(first >= 0)[-1])
+    while at:
+        i, part = steps[first[at] - 1]
+        take[i] += part
+        at -= part * int(sizes[i])
+    return take
+
+
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that the sum of sizes comes as near below ``budget`` as can be found."""
+    """How many documents of each size to take so that the sum of sizes is the largest that is not above ``budget``."""
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    left = budget - int((sizes * take).sum())
-    # Largest sizes first until the programme's table is small.
-    for i in np.argsort(-sizes, kind="stable"):
-        if left <= BUDGET:
-            break
-        more = min(int(counts[i] - take[i]), (left - BUDGET // 2) // int(sizes[i]))
-        if more > 0:
-            take[i] += more
-            left -= more * int(sizes[i])
-    if left <= 0:
-        return take
-    # Bounded knapsack: bit s of a number tells that s words can be made; counts go in as powers of two.
-    table, mask, steps = 1, (1 << (left + 1)) - 1, []
-    for i in np.argsort(-sizes, kind="stable"):
-        room = min(int(counts[i] - take[i]), left // int(sizes[i]))
-        part = 1
-        while room > 0 and not table >> left & 1:
-            part = min(part, room)
-            steps.append((i, part, table))
-            table |= (table << (part * int(sizes[i]))) & mask
-            room -= part
-            part *= 2
-        if table >> left & 1:
-            break
-    at = table.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(sizes[i])
-    return take
+    share = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    # First the largest sizes until little is left: a sum that meets the budget cannot be bettered.
+    base, left = share.copy(), budget - int((sizes * share).sum())
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        more = min(int(counts[i] - base[i]), max(0, left - FIRST_TRY) // int(sizes[i]))
+        base[i] += more
+        left -= more * int(sizes[i])
+    back = 0
+    while True:
+        take = base + _knapsack(sizes, counts - base, budget - int((sizes * base).sum()))
+        if int((sizes * take).sum()) == budget or not base.any():
+            return take
+        base = np.maximum(share - back, 0)
+        back = max(1, 2 * back)
 
 
 def mix(docs: DataFrame, work: Workspace, seed: int = 11, **columns: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
     spark = docs.sparkSession
-    own = sized(docs, **columns).withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("range", F.pmod(F.shiftright("hash", 32), F.lit(RANGES)).cast("int"))
-    own = work.save(own.withColumn("hash", F.pmod("hash", F.lit(1 << 32))), "sizes")
+    own = work.save(sized(docs, seed, **columns), "sizes")
     # One row for each source.
     totals = {r.source: r.total for r in own.groupBy("source").agg(F.sum("size").alias("total")).collect()}
     order = sorted(totals, key=lambda s: (s is None, (s or "").encode()))
@@ -114,21 +129,23 @@ def mix(docs: DataFrame, work: Workspace, seed: int = 11, **columns: str) -> Dat
         return pdf.assign(take=fit_counts(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["rest"].iloc[0])))[["source", "size", "n", "take"]]
 
     takes = work.save(counts.groupBy("source").applyInPandas(chosen, "source string, size long, n long, take long"), "takes")
-    # Of sizes that are cut: how many documents each range of the hash has, and where the cut falls.
-    cut = takes.where("take > 0 and take < n").select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), "size", "take")
-    named = own.select("*", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"))
     key = ["s", "no_source", "size"]
-    ranges = named.groupBy(*key, "range").agg(F.count("*").alias("in_range")).join(cut, key)
+    source_key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source")]
+    # Of each size: nothing, all, or up to a cut among the ranges of the hash.
+    sizes = broadcast_if_small(takes.select(*source_key, "size", "n", "take"), 48)
+    place = F.floor(F.col("hash") * F.ceil(F.sqrt("n")) / F.lit(float(1 << 32))).cast("long")
+    named = own.select("*", *source_key).join(sizes, key, "left").withColumn("range", F.when(F.col("take").between(1, F.col("n") - 1), place))
+    named = work.save(named, "named")
+    ranges = named.where("range is not null").groupBy(*key, "range", "take").agg(F.count("*").alias("in_range"))
     below = F.sum("in_range").over(Window.partitionBy(*key).orderBy("range")) - F.col("in_range")
-    ranges = ranges.withColumn("room", F.col("take") - below).select(*key, "range", F.when(F.col("room") >= F.col("in_range"), F.lit(None).cast("long")).otherwise(F.greatest("room", F.lit(0))).alias("room"), F.lit(True).alias("cut"))
-    ranges = work.save(ranges, "ranges")
-    whole = takes.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), "size", (F.col("take") >= F.col("n")).alias("whole"))
-    rows = named.join(whole, key, "left").join(ranges, [*key, "range"], "left")
-    split = F.col("cut").isNotNull() & F.col("room").isNotNull() & (F.col("room") > 0)
-    rows = work.save(rows.withColumn("split", split), "rows")
-    place = F.row_number().over(Window.partitionBy(*key, "range").orderBy("hash", "doc_id"))
-    ranked = rows.where("split").withColumn("chosen", place <= F.col("room"))
-    plainly = rows.where("not split").withColumn("chosen", F.coalesce("whole", F.lit(False)) | (F.col("cut").isNotNull() & F.col("room").isNull()))
+    # Room of the range with the cut; ranges before it are taken whole, those after it not at all.
+    ranges = ranges.withColumn("room", F.greatest(F.col("take") - below, F.lit(0)))
+    ranges = ranges.select(*key, "range", "room", F.when(F.col("room") >= F.col("in_range"), "all").when(F.col("room") > 0, "some").otherwise("none").alias("kind"))
+    rows = work.save(named.join(broadcast_if_small(work.save(ranges, "ranges"), 64), [*key, "range"], "left"), "rows")
+    rank = F.row_number().over(Window.partitionBy(*key, "range").orderBy("hash", "doc_id"))
+    ranked = rows.where("kind = 'some'").withColumn("chosen", rank <= F.col("room"))
+    whole = F.coalesce(F.col("kind") == "all", F.col("take") >= F.col("n"), F.lit(False))
+    plainly = rows.where("kind is null or kind <> 'some'").withColumn("chosen", whole)
     both = ranked.unionByName(plainly)
     both = both.join(plan.withColumnRenamed("source", "of"), both["source"].eqNullSafe(F.col("of")))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("chosen").cast("int")).otherwise(F.lit(0))
