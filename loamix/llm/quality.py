@@ -6,10 +6,10 @@ n-grams of log p(target) - log p(raw); adding Gumbel noise and keeping the k lar
 replacement in proportion to their importance. k is the share of good rows among all labels times the number of documents.
 
 The raw counts are summed inside each task and then over all tasks: one row for each bucket and task leaves a task.
-The k-th largest value is found by narrowing histograms, so no task sorts all documents.
+The k-th largest value is found by narrowing histograms, so no task sorts all documents, not even those of one value.
 
 Defined results: null and empty texts have no n-grams and log-importance 0. Repeated rows each get a row, with the same noise;
-equal keys at the limit are kept or dropped by id, then arbitrarily among equal rows. Labels with a null id or value are left out. Without
+of equal keys at the limit as many are kept as there is room for, no matter which. Labels with a null id or value are left out. Without
 good labels the target model equals the raw one. Columns other than the id and text are not read. An empty
 table gives no rows.
 """
@@ -29,18 +29,12 @@ from pyspark.sql import types as T
 from loamix.plans.shared import Workspace
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 300_000
-_hashes: dict[str, int] = {}
 
 
 def buckets(text: str | None, size: int) -> np.ndarray:
     """Bucket of every word and every pair of neighbouring words, repeats included."""
     words = TOKEN.findall((text or "").lower())
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-    one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    one = np.fromiter([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64, len(words))
     two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     return np.concatenate([one, two]) % np.uint64(size)
 
@@ -90,12 +84,16 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
     return source.mapInPandas(weighed, T.StructType([source.schema[id_col], T.StructField("log_weight", T.DoubleType())]))
 
 
-def threshold(scored: DataFrame, k: int, bins: int = 4096, rounds: int = 8, few: int = 10_000) -> tuple[float, float, int]:
-    """(low, high, taken): keys >= high number ``taken`` <= k; the k-th largest key is in [low, high).
+#: Rows of the last bin that one task ranks.
+FEW = 10_000
 
-    Each round counts the keys of one bin of the round before.
+
+def threshold(rows: DataFrame, value: str, k: int, bins: int = 4096, rounds: int = 8) -> tuple[float, float, int]:
+    """(low, high, taken): values >= high number ``taken`` <= k; the k-th largest value is in [low, high).
+
+    Each round counts the values of one bin of the round before, until it has FEW rows or its values cannot be told apart.
     """
-    low, high = scored.agg(F.min("key"), F.max("key")).first()
+    low, high = rows.agg(F.min(value), F.max(value)).first()
     high = float(np.nextafter(high, np.inf))
     taken = 0
     for _ in range(rounds):
@@ -103,34 +101,46 @@ def threshold(scored: DataFrame, k: int, bins: int = 4096, rounds: int = 8, few:
         if not width > 0 or low + width == low:
             break
         edges = [low + i * width for i in range(bins)] + [high]
-        place = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).alias("bin")
-        counts = {r.bin: r["count"] for r in scored.where((F.col("key") >= low) & (F.col("key") < high)).groupBy(place).count().collect()}
+        place = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).alias("bin")
+        counts = {r.bin: r["count"] for r in rows.where((F.col(value) >= low) & (F.col(value) < high)).groupBy(place).count().collect()}
         at = bins - 1
         while at > 0 and taken + counts.get(at, 0) < k:
             taken += counts.get(at, 0)
             at -= 1
-        # Rounding may put a key just beside its bin's edge, so the edges move out a little.
+        # Rounding may put a value just beside its bin's edge, so the edges move out a little.
         low, high = edges[at] - width / 1000, edges[at + 1] + width / 1000
-        taken = scored.where(F.col("key") >= high).count()
-        if counts.get(at, 0) <= few:
+        taken = rows.where(F.col(value) >= high).count()
+        if counts.get(at, 0) <= FEW:
             break
     return low, high, taken
 
 
+def _largest(rows: DataFrame, value: str, k: int, tie: str | None) -> DataFrame:
+    """``rows`` with ``kept``: true for the k rows with the largest ``value``; equal values by ``tie``, which differs from row to row."""
+    n = rows.count()
+    if k >= n or k <= 0:
+        return rows.withColumn("kept", F.lit(k >= n))
+    low, high, taken = threshold(rows, value, k)
+    marked = lambda condition, kept: rows.where(condition).withColumn("kept", F.lit(kept))
+    edge = rows.where((F.col(value) >= low) & (F.col(value) < high))
+    if edge.count() <= FEW or tie is None:
+        place = F.row_number().over(Window.orderBy(F.desc(value), *([tie] if tie else [])))
+        inside = edge.withColumn("kept", place <= k - taken)
+        return marked(F.col(value) >= high, True).unionByName(inside).unionByName(marked(F.col(value) < low, False))
+    # The bin is as narrow as can be, so it has few different values: whole values, then one value's rows by ``tie``.
+    for row in edge.groupBy(value).count().orderBy(F.desc(value)).toLocalIterator():
+        if taken + row["count"] >= k:
+            break
+        taken += row["count"]
+    equal = _largest(rows.where(F.col(value) == row[value]), tie, k - taken, None)
+    return marked(F.col(value) > row[value], True).unionByName(equal).unionByName(marked(F.col(value) < row[value], False))
+
+
 def resample(scored: DataFrame, k: int, work: Workspace, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """``scored`` with the Gumbel ``key`` and ``kept``: true for k rows, drawn by Gumbel top-k."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = work.save(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "keyed")
-    n = keyed.count()
-    if k >= n or k <= 0:
-        return keyed.withColumn("kept", F.lit(k >= n))
-    low, high, taken = threshold(keyed, k)
-    # Keys inside the last bin are ranked, a few thousand rows unless equal rows repeat.
-    edge = keyed.where((F.col("key") >= low) & (F.col("key") < high)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("key"), id_col)))
-    inside = edge.withColumn("kept", F.col("place") <= k - taken).drop("place")
-    above = keyed.where(F.col("key") >= high).withColumn("kept", F.lit(True))
-    below = keyed.where(F.col("key") < low).withColumn("kept", F.lit(False))
-    return above.unionByName(inside).unionByName(below)
+    keyed = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).withColumn("_tie", F.monotonically_increasing_id().cast("double"))
+    return _largest(work.save(keyed, "keyed"), "key", k, "_tie").drop("_tie")
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
