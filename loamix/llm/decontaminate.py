@@ -4,10 +4,11 @@ An item's windows are its runs of ``window`` words (the whole item if it is shor
 all its shingles do, so one necessary shingle per window suffices as the join's prefix, and the rarest in the documents is taken. Rarity is
 counted over all documents for the shingles that windows have. A document's shingles meet the prefixes in an equi-join;
 the shingle's place in the window gives where the window would start, which the document's length must allow; then the document's
-words at that place are compared with the window's, word by word.
+words at that place, as a 256-bit digest, are compared with the window's.
 
 Documents never meet each other, only windows, so copies of a document cost no more than other documents. The
-windows are broadcast if their counted number is small, else joined by a shuffle.
+windows' shingles are broadcast if their counted number is small. Else a bitmap of at most 2^20 words of 64 bits is broadcast, which
+drops almost all shingles of documents that no window has, and the rest are joined by a shuffle.
 
 Defined results: null texts and texts without words have none, and are not contaminated. Items without
 words have no windows. Repeated rows each get a row. Rows are told apart by id and text, so rows of one id with other texts are judged
@@ -19,13 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamix.plans import shared
 from loamix.plans.shared import Workspace, broadcast_if_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Bytes of a row of windows, as counted for the broadcast.
-ROW = 400
+#: Bytes of a row of shingles and of prefixes, as counted for a broadcast.
+SHINGLE_BYTES, PREFIX_BYTES = 16, 160
+#: Words of 64 bits in the bitmap of shingles at most; 16 MB.
+BITMAP = 1 << 20
 
 
 def words(text: str) -> str:
@@ -71,6 +75,17 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def _having(shingled: DataFrame, wanted: DataFrame, row_bytes: int) -> DataFrame:
+    """The rows of ``shingled`` joined with ``wanted`` on the shingle."""
+    small = max(1, shared.BROADCAST_BYTES // row_bytes)
+    if wanted.limit(small + 1).count() <= small:
+        return shingled.join(F.broadcast(wanted), "shingle")
+    word, bit = F.col("shingle").bitwiseAND(64 * BITMAP - 64), F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    likely = shingled.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return likely.drop("word", "bits").join(wanted, "shingle")
+
+
 def hits(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_hit, starts, items) for each different contaminated document.
 
@@ -79,33 +94,36 @@ def hits(docs: DataFrame, items: DataFrame, work: Workspace, window: int = 10, i
     own = _own(docs, id_col, text_col)
     owned = work.save(windows_of(items, window, item_id, item_text).withColumn("window_id", F.sha2(F.array_join("window", " "), 256)), "windows")
     windows = work.save(owned.select("window_id", "window").distinct(), "distinct_windows")
-    widths = [r.width for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("width")).distinct().collect()]  # 1 .. SHINGLE
+    widths = [r.width for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("width")).distinct().orderBy("width").collect()]  # 1 .. SHINGLE
     if not widths:
         kind = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, n_hit long, starts array<struct<start:int,length:int>>, items array<string>"
         return docs.sparkSession.createDataFrame([], kind)
-    shingled = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(*[F.lit(s) for s in sorted(widths)])).alias("width"), "text") if len(widths) > 1 else own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(widths[0]).alias("width"), "text")
-    each = F.posexplode(F.expr(_bound(words("text"), "w", "case " + " ".join(f"when width = {s} then {_shingles('w', s)}" for s in sorted(widths)) + " end")))
+    width = F.explode(F.array(*[F.lit(s) for s in widths])) if len(widths) > 1 else F.lit(widths[0])
+    cut = lambda of: "case " + " ".join(f"when width = {s} then {_shingles(of, s)}" for s in widths) + " end"
+    shingled = own.select("doc_id", F.xxhash64("text").alias("text_hash"), width.alias("width"), "text")
+    shingled = shingled.select("doc_id", "text_hash", F.posexplode(F.expr(_bound(words("text"), "w", cut("w")))).alias("at", "shingle"))
     # Rarity: occurrences in all documents of the shingles that windows have.
-    placed = windows.select("window_id", "window", F.size("window").alias("length"), F.least(F.size("window"), F.lit(SHINGLE)).alias("width"))
-    placed = placed.select("*", F.posexplode(F.expr("case " + " ".join(f"when width = {s} then {_shingles('window', s)}" for s in sorted(widths)) + " end")).alias("offset", "shingle"))
-    wanted = broadcast_if_small(placed.select("shingle").distinct(), 64)
-    counts = shingled.select(each.alias("at", "shingle")).join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("n"))
-    rarity = work.save(counts, "rarity")
+    placed = windows.select("window_id", F.size("window").alias("length"), F.least(F.size("window"), F.lit(SHINGLE)).alias("width"), "window")
+    placed = placed.select("window_id", "length", F.posexplode(F.expr(cut("window"))).alias("offset", "shingle"))
+    wanted = work.save(placed.select("shingle").distinct(), "wanted")
+    rarity = work.save(_having(shingled, wanted, SHINGLE_BYTES).groupBy("shingle").agg(F.count("*").alias("n")), "rarity")
     # The prefix of each window: its rarest shingle, the first of equally rare ones.
-    ranked = placed.join(rarity, "shingle", "left").groupBy("window_id", "window", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("first"))
+    rare = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("first")
+    ranked = placed.join(broadcast_if_small(rarity, 32), "shingle", "left").groupBy("window_id", "length").agg(rare)
     # A window with a shingle that no document has occurs nowhere.
-    prefixes = work.save(ranked.where("first.n > 0").select("window_id", "window", "length", "first.shingle", "first.offset"), "prefixes")
-    met = shingled.select("doc_id", "text_hash", each.alias("at", "shingle")).join(broadcast_if_small(prefixes, ROW), "shingle")
-    met = met.select("doc_id", "text_hash", (F.col("at") - F.col("offset")).alias("start"), "length", "window_id", "window").where("start >= 0")
+    prefixes = work.save(ranked.where("first.n > 0").select("window_id", "length", "first.shingle", "first.offset"), "prefixes")
+    met = _having(shingled, prefixes, PREFIX_BYTES)
+    met = met.select("doc_id", "text_hash", (F.col("at") - F.col("offset")).alias("start"), "length", "window_id").where("start >= 0")
     # All candidates of a document: no more than it has words times the windows that share a shingle.
-    candidates = work.save(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length", "window_id", "window")).alias("found")), "candidates")
+    candidates = work.save(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length", "window_id")).alias("found")), "candidates")
     some = broadcast_if_small(candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), 32)
     texts = own.withColumn("text_hash", F.xxhash64("text"))
     texts = texts.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     cand = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found")
     paired = texts.join(cand, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    exact = "filter(found, c -> c.start + c.length <= size(w) and slice(w, c.start + 1, c.length) = c.window)"
-    met_at = paired.select("doc_id", "text_hash", F.expr(f"array_sort({_bound(words('text'), 'w', f'transform({exact}, c -> struct(c.start as start, c.length as length, c.window_id as window_id))')})").alias("hits"))
+    # Words hold no spaces, so the digest of the joined words is one of the words.
+    exact = "filter(found, c -> c.start + c.length <= size(w) and sha2(array_join(slice(w, c.start + 1, c.length), ' '), 256) = c.window_id)"
+    met_at = paired.select("doc_id", "text_hash", F.expr(f"array_sort({_bound(words('text'), 'w', exact)})").alias("hits"))
     met_at = work.save(met_at.where("size(hits) > 0").distinct(), "hits")
     covered = "aggregate(hits, struct(0 as end, 0L as n), (acc, c) -> struct(greatest(acc.end, c.start + c.length) as end, acc.n + greatest(0, c.start + c.length - greatest(acc.end, c.start)) as n), acc -> acc.n)"
     spans = met_at.select("doc_id", "text_hash", F.expr(covered).cast("long").alias("n_hit"), F.expr("array_distinct(transform(hits, c -> struct(c.start, c.length)))").alias("starts"))
