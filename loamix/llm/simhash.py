@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamix.llm.components import components
+from loamix.llm.substrings import BASES, Rolling
 from loamix.plans.shared import Workspace, broadcast_if_small, partitions
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the perfect (23, 12) Golay code.
@@ -108,6 +109,14 @@ def bucket_keys(words: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprint(text: str | None, shingle: int, longs: int = 1, distinct: bool = False) -> np.ndarray:
     """``longs`` 64-bit words; the word hashed with seed 42 is first. Only A-Z are lower-cased, ASCII white space parts words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -123,11 +132,7 @@ def fingerprint(text: str | None, shingle: int, longs: int = 1, distinct: bool =
         pieces = list(set(pieces))
     for k in range(longs):
         digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(p, 42 + k) for p in pieces), np.uint64, len(pieces))
-        counts = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 15):
-            counts += np.unpackbits(hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+        out[k] = majority(np.fromiter([digest(p, 42 + k) for p in pieces], np.uint64, len(pieces)))
     return out
 
 
@@ -145,23 +150,35 @@ def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bo
     return source.mapInArrow(hashed, T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
-def _find(parent: dict, x: int) -> int:
-    while (up := parent.get(x, x)) != x:
-        parent[x] = parent.get(up, up)
-        x = up
-    return x
+def join_groups(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of ``a`` and ``b`` in ``label``, which names each node's group by its least node."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label] != label).any():
+            label[up] = label[label[up]]
 
 
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of the edges of a minimum spanning forest."""
-    parent: dict[int, int] = {}
-    keep = []
-    for i in np.argsort(weight, kind="stable").tolist():
-        x, y = _find(parent, int(a[i])), _find(parent, int(b[i]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, np.int64)
+    """Indices of the edges of a minimum spanning forest: every group takes its lightest edge to another, until there is none."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    # A rank of its own for each edge, so that chosen edges form no ring.
+    rank = np.empty(len(a), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(a))
+    label, left, keep = np.arange(len(names)), np.arange(len(a)), []
+    while len(left):
+        u, v = label[x[left]], label[y[left]]
+        left, u, v = left[u != v], u[u != v], v[u != v]
+        best = np.full(len(names), len(a))
+        np.minimum.at(best, u, rank[left])
+        np.minimum.at(best, v, rank[left])
+        chosen = left[(best[u] == rank[left]) | (best[v] == rank[left])]
+        keep.append(chosen)
+        join_groups(label, x[chosen], y[chosen])
+    return np.sort(np.concatenate(keep)) if keep else np.empty(0, np.int64)
 
 
 def _bucket_edges(group: np.ndarray, node: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarray, ...]:
@@ -259,27 +276,24 @@ def near_duplicates(prints: DataFrame, scheme: Scheme, longs: int, work: Workspa
 def labelled(prints: DataFrame, nodes: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
     """``prints`` with component_id: the smallest id of the nodes with the same root."""
     grouped = work.save(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "rooted")
-    of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(grouped.join(of_root, "root").select("node", "component_id"), "node")
+    # Written, so that both sides of the joins are plain tables and a hot group is split.
+    of_root = work.save(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "of_root")
+    return prints.join(work.save(grouped.join(of_root, "root").select("node", "component_id"), "named"), "node")
 
 
 #: Documents sampled for common shingles, and how many of these are told apart by their counts.
 SAMPLE, COMMON = 8_000, 100_000
-#: Bits of a sketch, in longs; neighbours in a bucket that are looked at first, and how many of a node's are verified first.
-SKETCH, NEIGHBOURS, BEST = 3, 4, 2
+#: Bits of a node's sketches, in longs: of the one that goes into buckets, and of the one for pairs that pass it.
+SKETCH, WIDE = 3, 32
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    n = max(1, len(tokens) - width + 1)
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 1) for a, b in zip(starts, ends[len(tokens) - n :].tolist(), strict=True)), np.uint64, n))
+    at = np.arange(max(1, len(words) - width + 1))
+    return np.unique(Rolling(words, BASES[:1]).of(at, np.minimum(at + width, len(words))))
 
 
 def least_shared(size, share: float):
@@ -303,124 +317,191 @@ def common_shingles(keyed: DataFrame, width: int = 5) -> tuple[np.ndarray, np.nd
     return keys[order], counts["n"].to_numpy(np.int64)[order]
 
 
+_NAMES = [f"s{k}" for k in range(SKETCH)]
+
+
+def parities(shingles: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch of a set: a bit for the parity of the shingles that fall on it. Every differing bit of two sketches is a shingle that one set lacks."""
+    bits = np.bincount((shingles % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shingle_prints(keyed: DataFrame, similarity: float, common, width: int = 5) -> DataFrame:
-    """(id, node, size, s0 .., prefix) for each row: hash and size of the shingle set, parities of its shingles, and its prefix.
+    """(id, node, f0, size, s0 .., wide, prefix) for each row: hash, SimHash fingerprint, size, sketches and prefix of the shingle set.
 
     All sets are ordered alike, common shingles last, and a set's prefix is one shingle longer than the share that a similar set may
     lack: similar sets meet in their prefixes. ``common`` only moves shingles in that order, so it costs or saves time and no pair.
     """
-    names = [f"s{k}" for k in range(SKETCH)]
-    kind = T.StructType([keyed.schema["id"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    longs = [T.StructField(n, T.LongType()) for n in ("node", "f0", *_NAMES)]
+    kind = T.StructType([keyed.schema["id"], *longs, T.StructField("size", T.IntegerType()), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+    def described(text: str | None, known: np.ndarray, counts: np.ndarray) -> tuple:
+        shingles = shingle_set(text, width)
+        times = np.zeros(len(shingles), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+            times = np.where(known[at] == shingles, counts[at], 0)
+        length = len(shingles) - int(least_shared(np.int64(len(shingles)), similarity)) + 1 if len(shingles) else 0
+        names = np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 2), majority(shingles)], np.uint64).view(np.int64)
+        return (*names, *parities(shingles, SKETCH)), len(shingles), parities(shingles, WIDE).tobytes(), shingles[np.argsort(times, kind="stable")[:length]]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                nodes, sizes, bits, prefixes = [], [], [], []
-                for text in part.column(1):
-                    shingles = shingle_set(text.as_py(), width)
-                    nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 2))
-                    sizes.append(len(shingles))
-                    bits.append(np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1)
-                    times = np.zeros(len(shingles), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-                        times = np.where(known[at] == shingles, counts[at], 0)
-                    length = len(shingles) - int(least_shared(np.int64(len(shingles)), similarity)) + 1 if len(shingles) else 0
-                    prefixes.append(shingles[np.argsort(times, kind="stable")[:length]])
-                sketches = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<i8")
+                numbers, sizes, wide, prefixes = zip(*(described(x.as_py(), *common.value) for x in part.column(1)), strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(sketches[:, k].copy()) for k in range(SKETCH)), lists], names=["id", "node", "size", *names, "prefix"])
+                columns = [pa.array(x) for x in np.array(numbers, np.int64).T.copy()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(sizes, pa.int32()), pa.array(wide, pa.binary()), lists], schema=pa.schema([batch.schema.field(0).with_name("id"), *(pa.field(f.name, pa.int64()) for f in longs), pa.field("size", pa.int32()), pa.field("wide", pa.binary()), pa.field("prefix", pa.list_(pa.int64()))]))
 
     return keyed.mapInArrow(hashed, kind)
 
 
-def shared_shingles(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+def shared_shingles(nodes: DataFrame, work: Workspace) -> DataFrame:
     """(key, node, size, place, s0 ..): the prefix shingles that several nodes have."""
-    entries = prints.select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    bucket = Window.partitionBy("key")
-    entries = entries.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket)).where("low < high").drop("low", "high")
-    return entries.dropDuplicates(["key", "node"]).join(nodes.select("node", *[f"s{k}" for k in range(SKETCH)]), "node")
+    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    several = work.save(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    return entries.join(broadcast_if_small(several, 16), "key").join(nodes.select("node", *_NAMES), "node")
+
+
+def blocked(entries: DataFrame, work: Workspace) -> DataFrame:
+    """``entries`` (key, node, root, ..) of keys with several roots, dealt out as pairs (lo, hi) of blocks of nodes."""
+    buckets = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+    buckets = work.save(buckets.where("low < high").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "buckets")
+    dealt = entries.join(broadcast_if_small(buckets, 32), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "block", "other")
+
 
+_ORDER = ["key", "lo", "hi"]
 
-def candidates(entries: DataFrame, order: list[str], similarity: float, nearest: int | None) -> DataFrame:
-    """(u, v, bits), each once: pairs of a bucket whose sizes, places and sketches allow the similarity.
 
-    With ``nearest`` only that many next rows, by size, and the bucket's first are tried for each row; else all rows of another root.
+def _close(size: np.ndarray, place: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
+    """(a, b, bits) of the pairs whose sizes, places and sketches allow that they share ``share`` of the sum of their sizes."""
+    total = size[a] + size[b]
+    need = least_shared(total, share)
+    # The first shingle that both have is followed by as many more as they share.
+    good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
+    a, b, most = a[good], b[good], (total - 2 * need)[good]
+    bits = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+    good = bits <= most
+    return a[good], b[good], bits[good]
+
+
+def candidates(dealt: DataFrame, similarity: float, how: str) -> DataFrame:
+    """Of the pairs of different roots in a block that may be similar: a spanning ``forest`` or ``all`` as (u, v), or the ``nodes`` that have one as (key, lo, hi, node).
+
+    Sketches are s0 .., or ``wide`` if there is that column.
     """
-    names = [f"s{k}" for k in range(SKETCH)]
-    share = similarity / (1 + similarity)
-    extra = ["root"] if nearest is None else []
+    wide, share = "wide" in dealt.columns, similarity / (1 + similarity)
 
     def paired(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        where = pdf[order].to_numpy()
+        where = pdf[_ORDER].to_numpy()
         group = np.concatenate([[0], np.cumsum((where[1:] != where[:-1]).any(axis=1))])
-        node, size, place = (pdf[c].to_numpy(np.int64) for c in ("node", "size", "place"))
-        words = pdf[names].to_numpy(np.int64).view(np.uint64)
-        root = pdf["root"].to_numpy(np.int64) if extra else None
-        found = []
-
-        def tried(a: np.ndarray, b: np.ndarray) -> None:
-            if root is not None:
-                other = root[a] != root[b]
-                a, b = a[other], b[other]
-            total = size[a] + size[b]
-            need = least_shared(total, share)
-            # The first shingle that both have is followed by as many more as they share.
-            good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
-            a, b, most = a[good], b[good], (total - 2 * need)[good]
-            # Every differing bit is a shingle that one of them lacks.
-            bits = np.bitwise_count(words[a] ^ words[b]).sum(axis=1).astype(np.int64)
-            good = (bits <= most) & (node[a] != node[b])
-            if good.any():
-                x, y = node[a[good]], node[b[good]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), bits[good]], axis=1))
+        node, root, size, place = (pdf[c].to_numpy(np.int64) for c in ("node", "root", "size", "place"))
+        words = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(pdf), -1) if wide else pdf[_NAMES].to_numpy(np.int64).view(np.uint64)
+        marked, found = np.zeros(len(pdf), bool), [(np.empty(0, np.int64),) * 3]
+
+        def merged() -> tuple[np.ndarray, ...]:
+            """The pairs found, without those that the others stand for."""
+            a, b, bits = (np.concatenate([x[i] for x in found]) for i in range(3))
+            if how == "all":
+                keep = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1, return_index=True)[1]
+            else:
+                keep = forest(root[a], root[b], bits)
+            return a[keep], b[keep], bits[keep]
+
+        def named(a: np.ndarray, b: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"u": np.minimum(node[a], node[b]), "v": np.maximum(node[a], node[b])})
 
         active, step = np.arange(len(group) - 1), 1
-        while len(active) and (nearest is None or step <= nearest):
+        while len(active):
             active = active[active + step < len(group)]
             active = active[group[active] == group[active + step]]
-            tried(active, active + step)
+            for start in range(0, len(active), 1 << 16):
+                a = active[start : start + (1 << 16)]
+                a = a[root[a] != root[a + step]]
+                close = _close(size, place, words, a, a + step, share)
+                if how == "nodes":
+                    marked[close[0]] = marked[close[1]] = True
+                else:
+                    found.append(close)
             step += 1
-            if sum(map(len, found)) > 1 << 19:
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v", "bits"])
-                found.clear()
-        if nearest is not None:
-            first = np.searchsorted(group, group)
-            far = np.nonzero(np.arange(len(group)) - first > nearest)[0]
-            tried(first[far], far)
-        if found:
-            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v", "bits"])
+            if sum(len(x[0]) for x in found) > 1 << 18:
+                found = [merged()]
+                if len(found[0][0]) > 1 << 17:
+                    yield named(*found.pop())
+                    found.append((np.empty(0, np.int64),) * 3)
+        if how == "nodes":
+            yield pdf.loc[marked, [*_ORDER, "node"]]
+        else:
+            yield named(*merged())
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, order):
+        for pdf in whole_groups(batches, _ORDER):
             yield from paired(pdf)
 
-    rows = entries.select(*order, "node", "size", "place", *names, *extra)
-    rows = rows.repartition(partitions(entries.sparkSession), *order).sortWithinPartitions(*order, "size", "node")
-    return rows.mapInPandas(compared, "u long, v long, bits long").distinct()
+    rows = dealt.select(*_ORDER, "node", "root", "size", "place", *(["wide"] if wide else _NAMES))
+    rows = rows.repartition(partitions(dealt.sparkSession), *_ORDER).sortWithinPartitions(*_ORDER)
+    if how == "nodes":
+        return rows.mapInPandas(compared, "key long, lo int, hi int, node long")
+    return rows.mapInPandas(compared, "u long, v long").distinct()
 
 
-def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int = 5):
-    """``verify(edges, nodes, name)`` keeps edges between documents whose shingle sets have at least that Jaccard similarity.
+@dataclass(frozen=True)
+class Verifier:
+    """Keeps the pairs of nodes whose shingle sets have at least the Jaccard ``similarity``: first by wide sketches, then by the sets themselves.
 
-    ``keyed`` has id and text. Sets are fetched for the documents that have an edge only.
+    ``keyed`` has id and text, ``nodes`` the node, its least id, size and wide sketch, ``ids`` the node of each row.
     """
 
-    def verify(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
-        wanted = work.save(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id")), f"wanted-{name}")
-        texts = keyed.join(broadcast_if_small(wanted, 64), "id").select("node", "text")
+    keyed: DataFrame
+    nodes: DataFrame
+    ids: DataFrame
+    work: Workspace
+    similarity: float
+    width: int = 5
 
-        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    def _ends(self, pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+        return broadcast_if_small(self.work.save(ends, name), 8)
 
+    def likely(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose wide sketches allow the similarity."""
+        share = self.similarity / (1 + self.similarity)
+        known = self.work.save(self.nodes.join(self._ends(pairs, f"ends-{name}"), "node", "left_semi").select("node", "size", "wide"), f"wide-{name}")
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
+                bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = bits <= sizes - 2 * least_shared(sizes, share)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep))
+
+        side = lambda end, n: known.select(F.col("node").alias(end), F.col("size").alias(f"size_{n}"), F.col("wide").alias(f"wide_{n}"))
+        both = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "size_a", "wide_a", "size_b", "wide_b")
+        return self.work.save(both.mapInArrow(close, "u long, v long"), f"likely-{name}")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        pairs = self.likely(pairs, name)
+        wanted = self.nodes.join(self._ends(pairs, f"sure-{name}"), "node", "left_semi").select(F.col("node").alias("of"), F.col("least").alias("id"))
         # Documents of one id and text have equal sets; one of them is enough.
-        sets = work.save(texts.mapInArrow(listed, "node long, shingles binary").dropDuplicates(["node"]), f"sets-{name}")
+        rows = self.ids.join(broadcast_if_small(self.work.save(wanted, f"least-{name}"), 40), "id").groupBy("of", "id").agg(F.count("*").alias("rows"))
+        rows = self.work.save(rows, f"wanted-{name}")
+        texts = self.keyed.join(broadcast_if_small(rows, 48), "id").select(F.col("of").alias("node"), "text", "rows")
+        once = texts.where("rows = 1")
+        if rows.where("rows > 1").limit(1).count():
+            once = once.unionByName(texts.where("rows > 1").dropDuplicates(["node"]))
+        width, similarity = self.width, self.similarity
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    sets = [shingle_set(x.as_py(), width).tobytes() for x in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -431,46 +512,62 @@ def verifier(keyed: DataFrame, work: Workspace, similarity: float, width: int =
                     keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+        sets = self.work.save(once.select("node", "text").mapInArrow(listed, "node long, shingles binary"), f"sets-{name}")
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        found = work.save(edges.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), f"verified-{name}")
-        work.drop(f"sets-{name}")
+        found = self.work.save(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long"), f"verified-{name}")
+        for table in ("ends", "wide", "sure", "least", "wanted", "sets"):
+            self.work.drop(f"{table}-{name}")
         return found
 
-    return verify
+
+#: Rounds that look for forests of similar pairs before all pairs that are left are looked at.
+ROUNDS = 3
 
 
 def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for each row, both as (id, hash of the text): groups of documents linked by similar shingle sets.
 
-    Documents of one shingle set are one node, told by a 64-bit hash of the set. Every two nodes whose Jaccard similarity is ``similarity`` or more share a shingle of their prefixes
-    and pass all filters, so each such pair is either verified or joined by verified pairs.
+    Documents of one shingle set are one node, told by a 64-bit hash of the set. Links found by the Golay keys of the sets' fingerprints are
+    verified; two bits apart is nearer than the similarity asks, so an exact way finds the rest: every two nodes whose Jaccard similarity
+    is ``similarity`` or more share a shingle of their prefixes and pass all filters. In some rounds a spanning forest of such pairs of different
+    groups is verified, and joins groups; then every such pair that is left is verified.
     """
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed))
     prints = work.save(shingle_prints(keyed, similarity, common), "prints")
-    sketches = [F.first(c).alias(c) for c in (f"s{k}" for k in range(SKETCH))]
-    nodes = work.save(prints.groupBy("node").agg(F.min("id").alias("least"), *sketches), "nodes")
-    entries = work.save(shared_shingles(prints, nodes), "entries")
+    described = [F.first(c).alias(c) for c in ("f0", "size", *_NAMES, "wide", "prefix")]
+    nodes = work.save(prints.groupBy("node").agg(F.min("id").alias("least"), *described), "nodes")
     ids = work.save(prints.select("id", "node"), "ids")
     work.drop("prints")
-    verify = verifier(keyed, work, similarity)
-    # Nearest neighbours first: in a group of copies they join almost all.
-    best = F.row_number().over(Window.partitionBy("v").orderBy("bits", "u"))
-    tried = work.save(candidates(entries, ["key"], similarity, NEIGHBOURS).withColumn("best", best).where(f"best <= {BEST}").select("u", "v"), "tried")
-    edges = verify(tried, nodes, "near")
-    roots = work.save(components(edges, work), "roots")
-    # Then every pair of a bucket that is not joined yet; large buckets are dealt out as pairs of blocks.
-    apart = entries.join(broadcast_if_small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    bucket = Window.partitionBy("key")
-    apart = apart.withColumn("one", F.min("root").over(bucket) == F.max("root").over(bucket)).withColumn("rows", F.count("*").over(bucket)).where("not one")
-    apart = apart.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    more = work.save(candidates(apart, ["key", "lo", "hi"], similarity, None).select("u", "v").join(tried, ["u", "v"], "left_anti"), "more")
-    if more.limit(1).count():
-        edges = edges.unionByName(verify(more, nodes, "far"))
-        roots = work.save(components(edges, work, "cc-far"), "roots-far")
+    entries = work.save(shared_shingles(nodes, work), "entries")
+    verifier = Verifier(keyed, nodes, ids, work, similarity)
+    pairs = links(nodes.select("node", "f0"), WITHIN_2, 1, work).select("u", "v")
+    tried, edges, roots = None, None, nodes.select("node", F.col("node").alias("root"))
+    for step in range(ROUNDS + 1):
+        if edges is None:
+            rooted = entries.withColumn("root", F.col("node"))
+        else:
+            rooted = entries.join(broadcast_if_small(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        dealt = blocked(work.save(rooted, "rooted"), work)
+        if step == ROUNDS:
+            # Rows that have a partner by the short sketch get the wide one.
+            marked = work.save(candidates(dealt, similarity, "nodes"), "marked")
+            wide = nodes.join(broadcast_if_small(work.save(marked.select("node").distinct(), "marked-nodes"), 8), "node", "left_semi").select("node", "wide")
+            dealt = dealt.join(marked, [*_ORDER, "node"], "left_semi").join(wide, "node")
+        found = candidates(dealt, similarity, "all" if step == ROUNDS else "forest")
+        pairs = found if step else pairs.union(found).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = work.save(pairs, f"pairs-{step}")
+        if not pairs.limit(1).count():
+            if step < ROUNDS:
+                continue
+            break
+        new = verifier.verified(pairs, str(step))
+        tried = pairs if tried is None else tried.union(pairs)
+        edges = new if edges is None else edges.union(new)
+        roots = work.save(components(edges, work, f"cc{step}"), f"roots-{step}")
     return labelled(ids, nodes, roots, work).select("id", "component_id")
 
 
