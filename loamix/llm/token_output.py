@@ -48,7 +48,7 @@ LATIN, ENDING = re.compile("\\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+
 #: Bytes that stand for themselves in byte-level BPE; the others are moved above them.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Units of a worker's young generation, some 200 bytes each; the old one has as many. And the longest that is remembered.
-REMEMBERED, LONGEST = 150_000, 40
+REMEMBERED, LONGEST = 300_000, 40
 #: Bytes of text that are encoded together (one text may have more), and words whose ids are gathered together.
 TOGETHER, GATHERED = 8 << 20, 1 << 19
 
