@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The keyboard positions of Latin and Cyrillic letters.
-LATIN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,.`"
-CYRILLIC_KEYS = "йцукенгшщзхъфывапролджэячсмитьбюё"
+#: The keys of a Latin and of a Cyrillic keyboard, without and with shift.
+LATIN_KEYS = "`qwertyuiop[]asdfghjkl;'zxcvbnm,./" + '~@#$%^&QWERTYUIOP{}ASDFGHJKL:"|ZXCVBNM<>?'
+CYRILLIC_KEYS = "ёйцукенгшщзхъфывапролджэячсмитьбю." + 'Ё"№;%:?ЙЦУКЕНГШЩЗХЪФЫВАПРОЛДЖЭ/ЯЧСМИТЬБЮ,'
 
 
 def _full(parts: Column) -> Column:
@@ -38,18 +38,33 @@ def spaces(text: Column) -> Column:
     return _full(F.split(text, r"\s+"))
 
 
+def _windows(text: Column, n: int) -> Column:
+    """All runs of n characters. The text is cut into characters once; cutting each run out of it would take time by the square of its length."""
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+    return F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))
+
+
 def char_ngrams(text: Column, n: int, pad: str = "$") -> Column:
     """Character n-grams with n - 1 pads on either side; an empty text has none."""
     padded = F.concat(F.lit(pad * (n - 1)), text, F.lit(pad * (n - 1)))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substr(padded, i, F.lit(n)))
-    return F.when(F.length(text) > 0, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, _windows(padded, n)).otherwise(F.array().cast("array<string>"))
 
 
 def hash_trigrams(words: Column) -> Column:
     """Trigrams of #w1#w2#...#, without those that have # in the middle."""
     joined = F.concat(F.lit("#"), F.array_join(words, "#"), F.lit("#"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.substr(joined, i, F.lit(3)))
-    return F.when(F.size(words) > 0, F.filter(grams, lambda g: F.substr(g, F.lit(2), F.lit(1)) != "#")).otherwise(F.array().cast("array<string>"))
+    grams = F.filter(_windows(joined, 3), lambda g: F.substr(g, F.lit(2), F.lit(1)) != "#")
+    return F.when(F.size(words) > 0, grams).otherwise(F.array().cast("array<string>"))
+
+
+def normalised(tokenizer: Callable[[Column], Column], word: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """``tokenizer`` with each token replaced by ``word`` of it, such as a stem or a lemma; empty ones go."""
+    return lambda text: _full(F.transform(tokenizer(text), word))
+
+
+def light_stem(word: Column) -> Column:
+    """Without one English inflection ending; other stemmers are passed to ``normalised`` in its place."""
+    return F.regexp_replace(word, "(?:ing|ed|es|s)$", "")
 
 
 def drop_numbers(words: Column) -> Column:
@@ -93,7 +108,15 @@ def body_text(html: Column) -> Column:
 
 def fix_layout(text: Column) -> Column:
     """Words typed with a Latin layout, as the Cyrillic keys would give them; other texts are null."""
-    return F.when(F.lower(text).rlike(r"^[a-z\[\];',.` ]+$"), F.translate(F.lower(text), LATIN_KEYS, CYRILLIC_KEYS))
+    return F.when(text.rlike(r"^[A-Za-z\[\];',.`{}:\"<>~ ]+$"), F.translate(text, LATIN_KEYS, CYRILLIC_KEYS))
+
+
+def fixed_words(words: DataFrame, vocabulary: DataFrame, normalise: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """``words`` (word, ..) with ``fixed``: a word of Latin letters becomes what the Cyrillic keys give if that, normalised, is in ``vocabulary`` (term)."""
+    other = F.when(F.col("word").rlike("^[a-zA-Z]+$"), F.translate("word", LATIN_KEYS, CYRILLIC_KEYS))
+    known = vocabulary.select(F.col("term").alias("_term")).distinct()
+    found = words.withColumn("_other", other).join(known, normalise(F.col("_other")) == F.col("_term"), "left")
+    return found.select(*words.columns, F.when(F.col("_term").isNotNull(), F.col("_other")).otherwise(F.col("word")).alias("fixed"))
 
 
 def clean_value(value: Column) -> Column:
@@ -155,3 +178,12 @@ def _inflated(data: pd.Series) -> pd.Series:
 def inflate(data: Column) -> Column:
     """Text of zlib-compressed bytes."""
     return F.pandas_udf(_inflated, "string")(data)
+
+
+def _deflated(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else zlib.compress(x.encode("utf-8", "surrogatepass")))
+
+
+def deflate(text: Column) -> Column:
+    """zlib-compressed bytes of a text."""
+    return F.pandas_udf(_deflated, "binary")(text)

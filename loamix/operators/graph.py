@@ -26,21 +26,25 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, work: Workspace, steps: int, damping: float = 0.85, dangling: bool = False) -> DataFrame:
     """(id, rank). Repeated edges count. Without ``dangling`` the rank of pages without links is lost, else it is spread."""
-    nodes = work.save(edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct(), "nodes")
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("leaves")).unionAll(edges.select("dst", F.lit(0)))
+    # A node's degree tells whether its rank is lost.
+    nodes = work.save(ends.groupBy("id").agg(F.sum("leaves").alias("degree")), "nodes")
     n = nodes.count()
-    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    degrees = nodes.where("degree > 0").select(F.col("id").alias("src"), "degree")
     links = work.save(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(degrees, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
     ranks = nodes.withColumn("rank", F.lit(1.0) / n)
+    base = (1 - damping) / n
     for step in range(steps):
         flow = links.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = 0.0
         if dangling:
-            lost = ranks.join(degrees, F.col("src") == F.col("id"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        new = nodes.join(flow, F.col("id") == F.col("to"), "left").select("id", (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n).alias("rank"))
+            lost = ranks.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        got = F.coalesce("got", F.lit(0.0)) + lost / n
+        new = nodes.join(flow, F.col("id") == F.col("to"), "left").select("id", "degree", (F.lit(damping) * got + base).alias("rank"))
         ranks = work.save(new, f"ranks-{step}")
         if step:
             work.drop(f"ranks-{step - 1}")
-    return ranks
+    return ranks.select("id", "rank")
 
 
 def hits(edges: DataFrame, work: Workspace, steps: int) -> DataFrame:
@@ -52,4 +56,6 @@ def hits(edges: DataFrame, work: Workspace, steps: int) -> DataFrame:
         authority = edges.join(now, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("b")).agg(F.sum("hub").alias("x"))
         new = nodes.join(hub, F.col("id") == F.col("a"), "left").join(authority, F.col("id") == F.col("b"), "left")
         now = work.save(new.select("id", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("x", F.lit(0.0)).alias("authority")), f"hits-{step}")
+        if step:
+            work.drop(f"hits-{step - 1}")
     return now

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamix.functions import text as X
+from loamix.operators.ordering import numbered
+from loamix.plans.shared import Workspace, broadcast_if_small
 
 
 def top_query_per_host(clicks: DataFrame, least: int = 1, strict: bool = False) -> DataFrame:
@@ -27,17 +29,23 @@ def bad_urls(clicks: DataFrame) -> DataFrame:
     return clicks.agg(F.count_if(X.host(F.col("url")).isNull()).alias("bad"), F.count("*").alias("total"))
 
 
-def click_blocks(sessions: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
+def click_blocks(sessions: DataFrame, order: list[str], size: int, work: Workspace, by: list[str] | None = None) -> DataFrame:
     """Per block of ``size`` consecutive sessions: share with a click, with a click at first place, mean clicks; incomplete blocks are dropped.
 
     ``sessions`` has clicks array<int>. Blocks are numbered inside ``by``, else over all rows.
     """
     by = by or []
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    rows = sessions.withColumn("block", F.floor(place / size).cast("long"))
+    rows = numbered(sessions, order, work, by).withColumn("block", F.floor(F.col("place") / size).cast("long"))
     clicked = F.exists("clicks", lambda c: c > 0)
     total = F.aggregate("clicks", F.lit(0), lambda a, c: a + c)
-    return rows.groupBy(*by, "block").agg(F.count("*").alias("n"), F.avg(clicked.cast("double")).alias("ctr"), F.avg((F.get("clicks", F.lit(0)) > 0).cast("double")).alias("first_rate"), F.avg(total.cast("double")).alias("mean_clicks")).where(F.col("n") == size)
+    first = F.get("clicks", F.lit(0)) > 0
+    means = {"ctr": clicked, "first_rate": first, "mean_clicks": total}
+    return rows.groupBy(*by, "block").agg(F.count("*").alias("n"), *[F.avg(c.cast("double")).alias(n) for n, c in means.items()]).where(F.col("n") == size)
+
+
+def with_known_click(sessions: DataFrame, known: DataFrame) -> DataFrame:
+    """Sessions (session, clicked, ..) that have a click on one of ``known`` (clicked), with only those clicks."""
+    return sessions.join(broadcast_if_small(known.select("clicked").distinct(), 64), "clicked", "left_semi")
 
 
 def collapse_sessions(rows: DataFrame, key: str, order: list[str], same: str, items: dict[str, Column]) -> DataFrame:

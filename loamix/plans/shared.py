@@ -75,9 +75,9 @@ class Workspace:
             fs.delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """A broadcast hint if the counted rows fit under ``limit`` bytes; else the join stays a shuffled one."""
-    most = max(1, limit // row_bytes)
+    most = max(1, (limit or BROADCAST_BYTES) // row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

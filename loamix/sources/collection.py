@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BYTES_PER_MAP = 134_217_728
@@ -60,3 +61,22 @@ class ZlibCollection(DataSource):
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)
+
+
+def write_collection(docs: DataFrame, path: str) -> None:
+    """Write the texts of ``docs`` (text) below the folder ``path``, a URI: one file and its index for each partition."""
+
+    def write(rows: Iterator) -> None:
+        from pyspark import TaskContext
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        name, sizes = f"{root}/part-{TaskContext.get().partitionId():05d}", []
+        with fs.open_output_stream(name) as file:
+            for row in rows:
+                data = zlib.compress((row.text or "").encode("utf-8", "surrogatepass"))
+                sizes.append(len(data))
+                file.write(data)
+        with fs.open_output_stream(f"{name}.idx") as file:
+            file.write(struct.pack(f"<{len(sizes)}i", *sizes))
+
+    docs.select("text").foreachPartition(write)

@@ -58,6 +58,20 @@ def matrix(spark: SparkSession, path, names: list[str]) -> DataFrame:
     return spark.read.text(path).select(*[F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)]).dropna()
 
 
+def labelled_matrix(spark: SparkSession, paths: list, names: list[str]) -> DataFrame:
+    """label (first column) and features of several matrix files, such as training and test rows, in one table."""
+    out = None
+    for path in paths:
+        part = matrix(spark, path, ["label", *names])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def prefixed(df: DataFrame, prefix: str, *others: str) -> DataFrame:
+    """``others`` and the columns whose names start with ``prefix``."""
+    return df.select(*others, *[c for c in df.columns if c.startswith(prefix)])
+
+
 def table(spark: SparkSession, path, schema: str, columns: list[str] | None = None, sep: str = ",", header: bool = True) -> DataFrame:
     df = spark.read.csv(path, schema=schema, sep=sep, header=header)
     return df.select(*columns) if columns else df

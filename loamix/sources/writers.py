@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamix.functions.text import clean_value
+from loamix.operators.ordering import numbered
+from loamix.plans.shared import Workspace
 
 
-def key_value(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", quote="")
+def key_value(df: DataFrame, path: str, codec: str = "none") -> None:
+    """Tab-separated fields without quotes; fields must not hold tabs or line breaks."""
+    df.write.mode("overwrite").csv(path, sep="\t", quote="", compression=codec)
 
 
-def submission(df: DataFrame, order: list, columns: dict[str, Column], index: str = "Id") -> DataFrame:
+def page_files(pages: DataFrame, path: str) -> None:
+    """One file below ``path`` for each row (page_id, url, html): the address on the first line, then the page. ``path`` is a URI."""
+
+    def write(rows) -> None:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        for row in rows:
+            if row.url is not None and row.html is not None:
+                with fs.open_output_stream(f"{root}/{row.page_id}.page") as file:
+                    file.write(f"{row.url}\n{row.html}".encode("utf-8", "surrogatepass"))
+
+    pages.foreachPartition(write)
+
+
+def submission(df: DataFrame, order: list, columns: dict[str, Column], work: Workspace, index: str = "Id") -> DataFrame:
     """Numbered from 1 in the given order."""
-    return df.select(F.row_number().over(Window.orderBy(*order)).alias(index), *[c.alias(n) for n, c in columns.items()])
+    found = numbered(df, order, work, label="submission")
+    return found.select((F.col("place") + 1).cast("int").alias(index), *[c.alias(n) for n, c in columns.items()])
+
+
+def text_lines(lines: DataFrame, path: str) -> None:
+    """One text column, one line for each row."""
+    lines.write.mode("overwrite").text(path)
 
 
 def per_query(df: DataFrame, path: str, key: str = "qid") -> None:
     df.write.mode("overwrite").partitionBy(key).csv(path, header=True)
 
 
-def category_dictionary(rows: DataFrame, groups: dict[str, Column], start: int = 15) -> DataFrame:
-    """(group, value, idx): contiguous numbers from ``start`` of the distinct values of multi-valued columns, by group and value.
-
-    The distinct values are numbered; no more rows than there are categories meet in one task.
-    """
+def category_dictionary(rows: DataFrame, groups: dict[str, Column], work: Workspace, start: int = 15) -> DataFrame:
+    """(group, value, idx): contiguous numbers from ``start`` of the distinct values of multi-valued columns, by group and value."""
     each = None
     for name, values in groups.items():
         part = rows.select(F.lit(name).alias("group"), F.explode(values).alias("value")).where("value <> ''").distinct()
         each = part if each is None else each.unionByName(part)
-    return each.withColumn("idx", F.row_number().over(Window.orderBy("group", "value")) + (start - 1))
+    found = numbered(each, ["group", "value"], work, label="dictionary")
+    return found.select("group", "value", (F.col("place") + start).cast("int").alias("idx"))
 
 
-def libsvm_rows(rows: DataFrame, key: str, label: Column, numeric: list[Column], groups: dict[str, Column], start: int = 15) -> DataFrame:
+def libsvm_rows(rows: DataFrame, key: str, label: Column, numeric: list[Column], groups: dict[str, Column], work: Workspace, start: int = 15) -> DataFrame:
     """(key, line): label, numbers by position from 1, then categories as idx:1 in ascending order."""
-    own = rows.select(F.col(key).alias("_key"), label.cast("string").alias("_label"), F.concat_ws(" ", *[F.when(c.isNotNull(), F.concat(F.lit(f"{i + 1}:"), c.cast("string"))) for i, c in enumerate(numeric)]).alias("_head"), *[v.alias(f"_g_{n}") for n, v in groups.items()])
-    names = category_dictionary(own, {n: F.col(f"_g_{n}") for n in groups}, start)
+    numbers = [F.when(c.isNotNull(), F.concat(F.lit(f"{i + 1}:"), c.cast("string"))) for i, c in enumerate(numeric)]
+    own = rows.select(F.col(key).alias("_key"), label.cast("string").alias("_label"), F.concat_ws(" ", *numbers).alias("_head"), *[v.alias(f"_g_{n}") for n, v in groups.items()])
+    names = category_dictionary(own, {n: F.col(f"_g_{n}") for n in groups}, work, start)
     each = None
     for n in groups:
         part = own.select("_key", F.lit(n).alias("group"), F.explode(F.array_distinct(f"_g_{n}")).alias("value"))

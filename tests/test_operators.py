@@ -1,11 +1,13 @@
+import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loamix.functions import text as X
-from loamix.operators import graph, ltr, sessions, stats, terms, trees
+from loamix.operators import graph, ltr, ordering, ranking, sessions, stats, terms, trees
 from loamix.plans.shared import Workspace
 from loamix.sources import readers, writers
 from loamix.sources.collection import ZlibCollection
@@ -55,18 +57,79 @@ def test_ranking_metrics(spark):
 
 def test_trees(spark):
     rows = spark.createDataFrame([(i, [float(i)], y) for i, y in ((1, 0.0), (2, 0.0), (3, 10.0), (4, 10.0))], "row_id long, features array<double>, y double")
-    best = trees.best_splits(rows.withColumn("node", F.lit(0))).first()
+    best = trees.best_splits(rows.withColumn("node", F.lit(0)), Workspace(spark, "t")).first()
     assert (best.threshold, best.error) == (2.5, 0)
     tree = trees.grow(rows, Workspace(spark, "t"), 3)
     assert [r[0] for r in rows.orderBy("row_id").select(tree.predict()).collect()] == [0, 0, 10, 10]
-    first, grown, scored = trees.boost_second_order(rows, Workspace(spark, "t"), 2, 2)
-    assert first == 5 and len(grown) == 2 and scored.count() == 4
+    work = Workspace(spark, "t")
+    model, scored = trees.boost_second_order(rows, work, 2, 2)
+    assert model.start == 5 and len(model.trees) == 2 and scored.count() == 4
+    model.save(spark, work.at("model"))
+    again = trees.Ensemble.load(spark, work.at("model"))
+    assert again == model
+    stages = again.staged(rows).where("row_id = 4").orderBy("stage").collect()
+    assert [r.stage for r in stages] == [0, 1, 2] and stages[0].score == 5
+    assert stages[-1].score == pytest.approx(scored.where("row_id = 4").first().score)
+    assert rows.where("row_id = 4").select(again.predict(1)).first()[0] == pytest.approx(stages[1].score)
+
+
+def test_weak_split_above_strong_ones(spark):
+    """Of two features that only count together the first split gains nothing; it stays, since those below it do."""
+    rows = spark.createDataFrame([(i, [float(a), float(b)], 10.0 * (a ^ b)) for i, (a, b) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)] * 5)], "row_id long, features array<double>, y double")
+    centred = rows.withColumn("y", F.col("y") - 5)
+    tree = trees.grow(centred, Workspace(spark, "t"), 2, 0.1, 0.1)
+    assert set(tree.splits) == {0, 1, 2} and len({round(x, 6) for x in tree.leaves.values()}) == 2
+    flat = trees.grow(centred.withColumn("y", F.lit(0.0)), Workspace(spark, "t"), 2, 0.1, 0.1)
+    assert not flat.splits
+
+
+def test_numbers_and_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(40), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(7)
+    got = ordering.numbered(df, [F.desc("x"), "i"], Workspace(spark, "t"), ["g"]).collect()
+    for g in "ab":
+        want = [i for _, _, i in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))]
+        assert [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == want
+        assert sorted(r.place for r in got if r.g == g) == list(range(len(want)))
+    assert ordering.numbered(df.limit(0), ["x"], Workspace(spark, "t")).count() == 0
+    values = spark.createDataFrame([(g, x, float(x)) for g in "ab" for x in range(0, 50, 1 + (g == "b"))], "g string, x int, n double")
+    sums = {(r.g, r.x): (r.next, r.nl, r.nt) for r in ordering.running(values, ["g"], "x", ["n"], Workspace(spark, "t")).collect()}
+    assert sums["a", 10] == (11, 55, 1225) and sums["b", 48] == (None, 600, 600) and sums["a", 49][0] is None and sums["b", 0] == (2, 0, 600)
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "KNN_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 5), (102, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 7 = 0 or vec_id > 99").selectExpr("vec_id as qid", "embedding as q")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ranking.knn(vectors, asked, 4).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.doc_id
+    want = {i: [j for j in sorted(range(60), key=lambda j: (-round(float(u[i] @ u[j]), 6), j)) if j != i][:4] for i in range(0, 60, 7)}
+    assert {q: [got[q][k] for k in (1, 2, 3, 4)] for q in want} == want and set(got) == set(want)
+
+
+def test_lambdamart_goes_on_from_a_saved_model(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(q, i, rng.randrange(3), [rng.random(), float(i)]) for q in range(20) for i in range(5)], "qid int, idx int, y int, features array<double>")
+    work = Workspace(spark, "t")
+    whole, scored = ltr.lambdamart(rows, work, 2, 2, rate=0.5)
+    ltr.lambdamart(rows, work, 1, 2, rate=0.5, keep=work.at("model"), every=1)
+    again, resumed = ltr.lambdamart(rows, work, 1, 2, model=trees.Ensemble.load(spark, work.at("model")))
+    key = lambda df: [r.s for r in df.orderBy("qid", "idx").collect()]
+    assert [t.splits for t in again.trees] == [t.splits for t in whole.trees] and key(scored) == pytest.approx(key(resumed))
 
 
 def test_statistics(spark):
     a, b = (spark.createDataFrame([(float(x),) for x in v], "x double") for v in ((1, 2, 3), (4, 5, 6)))
     got = stats.t_test(a, b).first()
     assert (got.t, got.rejected) == (pytest.approx(3.674235, abs=1e-6), 1)
+    one_sided = stats.t_test(a, b, welch=False).first()
+    assert (one_sided.t, one_sided.rejected) == (pytest.approx(-4.5, abs=1e-6), 0)
     report = {r["class"]: r for r in stats.class_report(spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "label int, pred int")).collect()}
     assert report["0"].recall == 0.5 and report["1"].precision == 0.5
 
@@ -91,6 +154,28 @@ def test_edge_reader(spark, tmp_path):
     assert sorted(readers.edges(spark, str(tmp_path / "e.txt")).collect()) == [(1, 2), (3, 4)]
 
 
+def test_readers_of_odd_lines(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("1 2 3\n 4  5 6 \nx 1 2\n7 8\n\n")
+    assert sorted(map(tuple, readers.labelled_matrix(spark, [str(tmp_path / "m.txt")], ["a", "b"]).collect())) == [(1, 2, 3), (4, 5, 6)]
+    (tmp_path / "d.tsv").write_text("1\ttitle\tbody\n2\n3\t\n")
+    assert sorted(map(tuple, readers.documents(spark, str(tmp_path / "d.tsv")).collect())) == [(1, "title", "body"), (2, "", ""), (3, "", "")]
+    (tmp_path / "c.tsv").write_text("q\tu\nonly\n")
+    assert sorted((r.query, r.url) for r in readers.clicks(spark, str(tmp_path / "c.tsv")).collect()) == [("only", None), ("q", "u")]
+    (tmp_path / "s.txt").write_text("0 1 0\n\n1 x\n")
+    assert sorted(r.clicks for r in readers.click_sessions(spark, str(tmp_path / "s.txt")).collect() if None not in r.clicks) == [[], [0, 1, 0]]
+
+
+def test_sessions_on_streams(spark, tmp_path):
+    from loamix.streaming.events import sessions as event_sessions
+
+    rows = spark.createDataFrame([(i % 2, i * i) for i in range(40)], "user_id long, m long").selectExpr("user_id", "timestamp_seconds(m * 60) as ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    run = event_sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("es").outputMode("complete").start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(spark.table("es").collect()) == sorted(event_sessions(rows).collect())
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     from loamix.streaming.events import windowed_clicks
 
