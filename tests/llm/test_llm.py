@@ -292,6 +292,25 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rules_table(spark).limit(0), default="block").collect()} == {"block"}
 
 
+def test_clashing_columns(spark):
+    names = ["hash", "range", "s", "no_source", "take", "sha1", "repeated", "key", "digest", "rank", "url_key", "payload", "kind", "path"]
+    pages = spark.createDataFrame([(1, "http://org/es/x", "p"), (2, "http://b.example.org/es/" + "y" * 50_000, "p"), (3, None, None)], "page_id long, url string, html string")
+    clash = pages.select("*", *[F.lit("x").alias(n) for n in names if n not in ("host",)])
+    judged = [sorted(map(tuple, url_filter.judge(x, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict").collect())) for x in (pages, clash)]
+    assert judged[0] == judged[1] and judged[0][1][3:] == ("example.org/es/", "block")
+    read = []
+    for x in (pages, clash):
+        work = Workspace(spark, "t")
+        files = work.save(warc.write_warc(x, work.make("w")), "files")
+        read.append(sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to or 0) for r in warc.read_warc(files).collect()))
+    assert read[0] == read[1] == [(1, "revisit", 1, 2), (2, "response", 1, 0), (3, "response", 0, 0)]
+    docs = spark.createDataFrame([(i, "w " * i, "a") for i in range(12)], "doc_id long, text string, source string")
+    clash = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    order = ["doc_id", "size", "taken"]
+    mixed = [sorted(map(tuple, mixing.mix(x, Workspace(spark, "t")).select(order).collect())) for x in (docs, clash)]
+    assert mixed[0] == mixed[1]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same"), (2, "http://b/\r\nx", "same"), (3, None, None), (None, "u", "é" * 50_000), (2, "http://b/\r\nx", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -427,6 +446,55 @@ def test_toxicity(spark):
     assert toxicity.probability("x", none) == 0.5
 
 
+def test_toxicity_against_plain_computation(spark):
+    rng = random.Random(31)
+    word = lambda: rng.choice("abcdefg") * rng.randrange(1, 4) + rng.choice(["", "ingly", "ation", "ations"])
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(30))] + (["villain", word(), "villains"] if i % 4 == 0 else []))) for i in range(160)]
+    rows += [(2, rows[2][1]), (300, None), (301, ""), (302, "villain " * 30_000), (None, "villain")]
+    labels = {i: int(i % 4 == 0 or i % 17 == 0) for i in range(0, 160, 2)}
+    known = spark.createDataFrame([(i, y, "x") for i, y in [*labels.items(), (4, 0), (None, 1), (6, None)]], "doc_id long, toxic int, label string")
+    docs = frame(spark, rows).withColumn("label", F.lit("clash"))
+    model = toxicity.fit(docs, known, Workspace(spark, "t"))
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    seen = {}
+    for i, text in rows:
+        if i in labels:
+            words, first = ["", "", *cut(text)], {}
+            for p in range(2, len(words)):
+                for unit in [words[p][:k] + "*" for k in range(5, min(8, len(words[p])))] + [words[p]]:
+                    first.setdefault(unit, zlib.crc32(f"{words[p - 2]} {words[p - 1]}".encode()))
+            for unit, context in first.items():
+                seen.setdefault((unit, context), set()).add(labels[i])
+    counts = {}
+    for (unit, _), found in seen.items():
+        clean, bad = counts.get(unit, (0, 0))
+        counts[unit] = (clean + (0 in found), bad + (1 in found))
+    clean, bad = (sum(c[k] for u, c in counts.items() if not u.endswith("*")) for k in (0, 1))
+    assert model.counts == {u: c for u, c in counts.items() if sum(c) >= 3}
+    assert model.share == pytest.approx((bad + 1) / (clean + bad + 2))
+    train = [(cut(t), labels[i]) for i, t in rows if i in labels]
+    own = lambda words, y: np.array([model.word(w, y) for w in words])
+    drawn = np.concatenate([own(w, y)[:: max(1, len(w) // 50)] for w, y in train if y == 0 and w])
+    assert np.exp(model.rate * drawn).mean() == pytest.approx(1, abs=1e-6)
+    best = lambda s: max([s[a:b].sum() for a, b in brute_segments(s)], default=0.0)
+    assert model.size == pytest.approx(1 / np.mean([len(w) * np.exp(-model.rate * best(own(w, y))) for w, y in train if y == 0 and w]))
+
+    def features(s):
+        bits = [model.rate * s[a:b].sum() - np.log(model.size * max(1, len(s))) for a, b in brute_segments(s)]
+        good = [b for b in bits if b > -np.log(toxicity.SIGNIFICANT)]
+        return [1, min(max(bits, default=-np.log(model.size * max(1, len(s)))), 40), min(sum(good), 120), np.log1p(len(good))]
+
+    x, y = np.array([features(own(w, y)) for w, y in train]), np.array([y for _, y in train])
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ model.weights))) - np.array([1e-6, 1, 1, 1]) * model.weights
+    assert np.abs(slope).max() < 1e-6
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.score(docs, model).collect())
+    short = [(i, t) for i, t in rows if i != 302]
+    want = sorted((i is None, i or 0, 1 / (1 + np.exp(-np.clip(np.dot(model.weights, features(own(cut(t), None))), -30, 30)))) for i, t in short)
+    assert [g[:2] for g in got if g[1] != 302] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got if g[1] != 302], [w[2] for w in want])
+    assert [g[2] for g in got if g[1] == 302][0] > 0.9
+
+
 def test_targets():
     got = mixing.targets([10, 0, 100])
     assert sum(got) == 110 and got[0] == 110 / 4 or got[0] <= 30
