@@ -251,11 +251,15 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str
     """The rows of ``docs``, with all their columns, whose score is below ``limit``."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model.compact()), docs.columns.index(text_col)
 
+    names = docs.columns
+
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([probability(x.as_py(), shared.value) < limit for x in batch.column(at)], pa.bool_()))
+            found = batch.filter(pa.array([probability(x.as_py(), shared.value) < limit for x in batch.column(at)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=names)
 
-    return docs.mapInArrow(kept, docs.schema)
+    # Plain names on the way in: columns are looked up by name, which may hold dots.
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(kept, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
