@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamix.llm.components import components
+from loamix.llm.memory import enter, remembers
 from loamix.llm.substrings import BASES, Rolling
 from loamix.plans.shared import Workspace, broadcast_if_small, partitions
 
@@ -70,6 +71,9 @@ def golay_index() -> np.ndarray:
     return table
 
 
+remembers("simhash", golay_index.cache_clear)
+
+
 def segment_keys(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword index), each pair once: the codewords of every word at most one bit from the value."""
     flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint32)
@@ -143,6 +147,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bo
     names = [f"f{k}" for k in range(longs)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle, longs, distinct) for x in batch.column(1)], np.uint64).reshape(-1, longs)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k].view(np.int64)) for k in range(longs))], names=["id", *names])
@@ -306,6 +311,7 @@ def common_shingles(keyed: DataFrame, width: int = 5) -> tuple[np.ndarray, np.nd
     rows = keyed.count()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for batch in batches:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["key"])
@@ -346,6 +352,7 @@ def shingle_prints(keyed: DataFrame, similarity: float, common, width: int = 5)
         return (*names, *parities(shingles, SKETCH)), len(shingles), parities(shingles, WIDE).tobytes(), shingles[np.argsort(times, kind="stable")[:length]]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -439,6 +446,7 @@ def candidates(dealt: DataFrame, similarity: float, how: str) -> DataFrame:
             yield named(*merged())
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("simhash")
         for pdf in whole_groups(batches, _ORDER):
             yield from paired(pdf)
 

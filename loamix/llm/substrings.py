@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamix.llm.memory import enter
 from loamix.plans.shared import Workspace, broadcast_if_small
 
 SHINGLE, MOST_RUNS = 8, 4
@@ -109,6 +110,7 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
     kind = T.StructType([docs.schema["doc_id"], docs.schema["copy"], T.StructField("n_words", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("spans", _SPANS)])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamix.llm.memory import enter, remembers
 from loamix.plans.shared import Workspace, broadcast_if_small, partitions
 
 #: White space as Unicode defines it, which is what the tokenizer's pattern means.
@@ -48,7 +49,7 @@ LATIN, ENDING = re.compile("\\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+
 #: Bytes that stand for themselves in byte-level BPE; the others are moved above them.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Units of a worker's young generation, some 200 bytes each; the old one has as many. And the longest that is remembered.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 #: Bytes of text that are encoded together (one text may have more), and words whose ids are gathered together.
 TOGETHER, GATHERED = 8 << 20, 1 << 19
 
@@ -151,6 +152,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers("tokens", encoder.cache_clear)
+
+
 def _list(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32)))
@@ -168,6 +172,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     ordered = ordered.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         library, before = encoder(tokenizer), 0
         for batch in batches:
             for part in _slices(batch, 1):

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamix.llm.memory import enter
 from loamix.plans.shared import Workspace
 
 PYTHON_WORD = re.compile(r"[^\W_]+")
@@ -196,6 +197,7 @@ def _units(train: DataFrame) -> DataFrame:
     """(label, unit, context) for the first occurrence of each unit in each document."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("toxicity")
         for pdf in batches:
             for start in range(0, len(pdf), 64):
                 out = set()
@@ -241,6 +243,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model.compact())
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("toxicity")
         for pdf in batches:
             yield pd.DataFrame({id_col: pdf[id_col], "score": [probability(x, shared.value) for x in pdf["text"]]})
 
@@ -254,6 +257,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             found = batch.filter(pa.array([probability(x.as_py(), shared.value) < limit for x in batch.column(at)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(found.columns, names=names)
