@@ -290,6 +290,8 @@ def labelled(prints: DataFrame, nodes: DataFrame, roots: DataFrame, work: Worksp
 SAMPLE, COMMON = 8_000, 100_000
 #: Bits of a node's sketches, in longs: of the one that goes into buckets, and of the one for pairs that pass it.
 SKETCH, WIDE = 3, 32
+#: Sets of a key that one task compares; more are dealt out as pairs of blocks.
+SETS = 4096
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -375,7 +377,7 @@ def shared_shingles(nodes: DataFrame, work: Workspace) -> DataFrame:
 def blocked(entries: DataFrame, work: Workspace) -> DataFrame:
     """``entries`` (key, node, root, ..) of keys with several roots, dealt out as pairs (lo, hi) of blocks of nodes."""
     buckets = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
-    buckets = work.save(buckets.where("low < high").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "buckets")
+    buckets = work.save(buckets.where("low < high").select("key", F.ceil(F.col("rows") / SETS).cast("int").alias("blocks")), "buckets")
     dealt = entries.join(broadcast_if_small(buckets, 32), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "block", "other")
@@ -530,7 +532,7 @@ class Verifier:
 
 
 #: Rounds that look for forests of similar pairs before all pairs that are left are looked at.
-ROUNDS = 3
+ROUNDS = 1
 
 
 def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -538,7 +540,7 @@ def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8,
 
     Documents of one shingle set are one node, told by a 64-bit hash of the set. Links found by the Golay keys of the sets' fingerprints are
     verified; two bits apart is nearer than the similarity asks, so an exact way finds the rest: every two nodes whose Jaccard similarity
-    is ``similarity`` or more share a shingle of their prefixes and pass all filters. In some rounds a spanning forest of such pairs of different
+    is ``similarity`` or more share a shingle of their prefixes and pass all filters. First a spanning forest of such pairs of different
     groups is verified, and joins groups; then every such pair that is left is verified.
     """
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")).alias("id"), F.col(text_col).cast("string").alias("text"))
