@@ -56,12 +56,22 @@ def adaboost(train: DataFrame, test: DataFrame, rounds: int = 5, depth: int = 1)
     return scored.select("label", (total > 0).cast("double").alias("pred"))
 
 
-def compare_classifiers(train: DataFrame, test: DataFrame, trees: int = 5, seed: int = 42) -> DataFrame:
+def without_summary(model, work: Workspace, name: str):
+    """A fitted model, written and read back.
+
+    Some models keep a training summary that holds the session, and travel whole in the functions that predict. A session
+    in which a query has observed metrics cannot be serialized.
+    """
+    model.write().overwrite().save(work.at(name))
+    return type(model).load(work.at(name))
+
+
+def compare_classifiers(train: DataFrame, test: DataFrame, work: Workspace, trees: int = 5, seed: int = 42) -> DataFrame:
     """(model, label, pred) of features and label (0 or 1) by four models."""
     models = {"forest": RandomForestClassifier(numTrees=trees, seed=seed), "boosting": GBTClassifier(maxIter=trees, seed=seed), "svm": LinearSVC(maxIter=50)}
     out = adaboost(train, test, trees).select(F.lit("adaboost").alias("model"), "label", "pred")
     for name, model in models.items():
-        out = out.unionByName(model.fit(train).transform(test).select(F.lit(name).alias("model"), "label", F.col("prediction").alias("pred")))
+        out = out.unionByName(without_summary(model.fit(train), work, name).transform(test).select(F.lit(name).alias("model"), "label", F.col("prediction").alias("pred")))
     return out
 
 

@@ -266,7 +266,7 @@ def word2vec_knn(spark, d):
 def classifier_comparison(spark, d):
     columns = ["l_quantity", "l_discount", "l_tax"]
     rows = ml.vectors(table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), *columns, "l_orderkey"), columns)
-    got = ml.compare_classifiers(rows.where("l_orderkey % 3 <> 0"), rows.where("l_orderkey % 3 = 0"))
+    got = ml.compare_classifiers(rows.where("l_orderkey % 3 <> 0"), rows.where("l_orderkey % 3 = 0"), Workspace(spark, "classifiers"))
     return got.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("accuracy"))
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loamix.functions import text as X
@@ -165,6 +166,17 @@ def test_readers_of_odd_lines(spark, tmp_path):
     assert sorted(r.clicks for r in readers.click_sessions(spark, str(tmp_path / "s.txt")).collect() if None not in r.clicks) == [[], [0, 1, 0]]
 
 
+def test_classifier_comparison_after_observed_metrics(spark):
+    from loamix.plans.models import classifier_comparison
+
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    found = classifier_comparison(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.model for r in found) == ["adaboost", "boosting", "forest", "svm"]
+    assert len({r.n for r in found}) == 1 and all(0.5 < r.accuracy <= 1 for r in found)
+
+
 def test_sessions_on_streams(spark, tmp_path):
     from loamix.streaming.events import sessions as event_sessions
 
