@@ -9,10 +9,16 @@ mixing and writing.
 Defined results: all columns of the input come back unchanged, whatever their names; a row travels as one struct beside the stage's
 own columns. A null text counts as an empty one and stays null. An empty table gives an empty table from every stage. Very long texts are
 handled whole.
+
+Stages share executors, so each leaves little behind. While one runs, Spark drops the shuffle files of each of its jobs as the job ends; its tables go when
+its result no longer needs them. The session's limit on the bytes of an Arrow batch is set to BATCH if it has none, and stays, as results are computed later.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +27,28 @@ from loamix.plans.shared import Workspace, broadcast_if_small
 
 #: Documents with this toxicity score or more are rejected.
 TOXIC = 0.3
+#: Bytes of the texts that are sent to a worker, or come back, together; a longer row goes alone.
+BATCH = "2m"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _sparing(stage: Stage) -> Stage:
+    """``stage`` with the settings that the module's text names."""
+    clean, limit = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(stage)
+    def spared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if limit not in spark.conf.getAll:
+            spark.conf.set(limit, BATCH)
+        before = spark.conf.get(clean)
+        spark.conf.set(clean, "true")
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(clean, before)
+
+    return spared
 
 
 def _key() -> Column:
@@ -44,36 +72,49 @@ def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.where("rows = 1").unionByName(again)
 
 
+@_sparing
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose toxicity score is below TOXIC."""
-    model = toxicity.fitted(spark, docs, sf_dir, Workspace(spark, "toxicity"))
+    work = Workspace(spark, "toxicity")
+    model = toxicity.fitted(spark, docs, sf_dir, work)
+    work.remove()
     return toxicity.keep_clean(docs, model, TOXIC)
 
 
+@_sparing
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id, and of one id the one with the smallest hash of its text, of each group."""
     work = Workspace(spark, "near-duplicates")
     groups = simhash.similar_documents(docs, work)
     kept = groups.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("wanted")).agg(F.count("*").alias("rows"))
-    return _once(docs, work.save(kept, "kept")).select("row.*")
+    kept = work.save(kept, "kept")
+    work.only("kept")
+    return _once(docs, kept).select("row.*")
 
 
+@_sparing
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no window of a benchmark item occurs."""
-    hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Workspace(spark, "decontamination"))
+    work = Workspace(spark, "decontamination")
+    hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work)
+    work.only("found")
     hit = hits.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("copy")).alias("hit"))
     return _named(docs).join(broadcast_if_small(hit, 32), _same("key", "hit"), "left_anti").select("row.*")
 
 
+@_sparing
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     work = Workspace(spark, "mixing")
     taken = mixing.mix(docs.select(_key().alias("doc_id"), "text", "source"), work)
     keys = taken.groupBy(F.col("doc_id").alias("wanted")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    once = _once(docs, work.save(keys, "keys"))
+    keys = work.save(keys, "keys")
+    work.only("keys")
+    once = _once(docs, keys)
     return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
+@_sparing
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the documents as token files; (doc_id, start, n_tokens, ids_crc32) of each from what is read back."""
     return token_output.token_files(docs, Workspace(spark, "tokens"))

@@ -23,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,13 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         back = max(1, 2 * back)
 
 
+def plan_table(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    """One row for each source. It is made from an Arrow table: one made from Python rows starts workers of another kind in every executor, which stay."""
+    kinds = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "passes": pa.int32(), "rest": pa.int64()}
+    columns = list(zip(*plan, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+
+
 def mix(docs: DataFrame, work: Workspace, seed: int = 11, **columns: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -119,8 +127,7 @@ def mix(docs: DataFrame, work: Workspace, seed: int = 11, **columns: str) -> Dat
     for source, target in zip(order, targets([totals[s] for s in order]), strict=True):
         passes = int(target // totals[source]) if totals[source] else 0
         plan.append((source, totals[source], float(target), passes, int(target - passes * totals[source] + Fraction(1, 2))))
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, passes int, rest long")
-    plan = broadcast_if_small(plan, 256)
+    plan = broadcast_if_small(plan_table(spark, plan), 256)
     counts = own.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     counts = counts.join(plan, counts["source"].eqNullSafe(plan["source"])).select(counts["source"], "size", "n", "rest")
 

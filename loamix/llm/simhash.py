@@ -551,6 +551,10 @@ def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8,
     ids = work.save(prints.select("id", "node"), "ids")
     work.drop("prints")
     entries = work.save(shared_shingles(nodes, work), "entries")
+    # Prefixes, most of the table, are not needed any more.
+    nodes = work.save(nodes.select("node", "least", "f0", "size", "wide"), "described")
+    work.drop("nodes")
+    work.drop("several")
     verifier = Verifier(keyed, nodes, ids, work, similarity)
     pairs = links(nodes.select("node", "f0"), WITHIN_2, 1, work).select("u", "v")
     tried, edges, roots = None, None, nodes.select("node", F.col("node").alias("root"))
@@ -570,6 +574,8 @@ def similar_documents(docs: DataFrame, work: Workspace, similarity: float = 0.8,
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = work.save(pairs, f"pairs-{step}")
+        for table in ("large", "rooted", "buckets", "marked", "marked-nodes"):
+            work.drop(table)
         if not pairs.limit(1).count():
             if step < ROUNDS:
                 continue

@@ -63,6 +63,13 @@ class Workspace:
         fs, path = self._folder(name)
         fs.delete(path, True)
 
+    def only(self, *names: str) -> None:
+        """Drop all tables but these."""
+        fs, path = self._folder()
+        for entry in fs.listStatus(path):
+            if entry.getPath().getName() not in names:
+                fs.delete(entry.getPath(), True)
+
     def make(self, name: str) -> str:
         """Create an empty folder for files that tasks write themselves."""
         fs, path = self._folder(name)

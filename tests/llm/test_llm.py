@@ -694,3 +694,36 @@ def test_pipeline_stages_with_clashing_columns(spark, tmp_path):
     assert sorted(r.doc_id for r in kept["simhash_dedup"]) == [i for i in range(33) if i != 30]
     assert sorted(r.doc_id for r in kept["decontamination"]) == [i for i in range(33) if i != 9]
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_pipeline_stages_leave_little_behind(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    rng = random.Random(10)
+    item = [f"q{i}" for i in range(12)]
+    rows = [(i, " ".join([f"w{rng.randrange(3000)}" for _ in range(60)] + (item if i == 9 else [])), f"s{i % 2}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(i, 1, int(i == 29)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    made = []
+    monkeypatch.setattr(P, "Workspace", lambda *a: made.append(Workspace(*a)) or made[-1])
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    left = {}
+    for name, stage in P.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        fs, path = made[-1]._folder()
+        left[name] = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+        assert found.count(), name
+    assert left == {"toxicity": [], "simhash_dedup": ["kept"], "decontamination": ["found"], "source_mix": ["keys"], "token_output": ["tokens"]}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    # Workers get long texts a few at a time.
+    long = spark.range(20).coalesce(1).selectExpr("repeat('word ', 100000) as text")
+    assert long.mapInArrow(lambda batches: (x.select(["text"]).slice(0, 0) if x.nbytes < 3 << 20 else x.slice(0, 1) for x in batches), "text string").count() == 0
+
+
+def test_plan_of_a_mix_starts_no_other_workers(spark):
+    plan = [("a", 5, 2.5, 0, 3), (None, 7, 7.0, 1, 0)]
+    got = mixing.plan_table(spark, plan)
+    assert got.collect() == plan and "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString()
+    assert got.dtypes == [("source", "string"), ("source_size", "bigint"), ("target", "double"), ("passes", "int"), ("rest", "bigint")]
+    assert mixing.plan_table(spark, []).collect() == []
