@@ -8,9 +8,10 @@ stream need only one sum per file.
 
 Encoding is done by the tokenizers library. If the tokenizer is byte-level BPE with its usual pattern, a text
 is the concatenation of the encodings of its units (a run of non-space characters with the space before it, or
-white space), since that pattern never joins two units; each worker then keeps the ids of a bounded number of units it
-has met lately, gives the library only new ones, and gathers the ids of texts as arrays. Other tokenizers, and texts that hold
-an added token's string, are encoded whole.
+white space), since that pattern never joins two units; the library then gets the different units of some texts once,
+many in one string, and the ids of texts are gathered as arrays. Units in one string are parted by the letter of a byte that UTF-8 never
+holds and no merge has, so none is merged with another. Nothing is remembered from one lot of texts to the next. Other tokenizers, and
+texts that hold an added token's string, are encoded whole.
 
 Defined results: a null text is an empty one and has only the end id. Repeated ids follow each other, ordered by the hash of
 their text; null ids come first. Columns other than the id and the text are not read. An empty table
@@ -22,10 +23,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +43,14 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 MARK = "\0"
 #: Texts whose words are not parted by one space or line break each.
 UNEVEN = f"(?:^|[ \n])(?:[ \n]|$)|[\\x00\x1c-\x1f{SPACE.replace(' ', '', 1)}]".replace("-\r", "\x0b-\r")
-#: Words that are one piece; punctuation that is a piece of its own at a word's end.
-LATIN, ENDING = re.compile("\\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), "([A-Za-z0-9])([.,;:!?]+)( |$)"
+#: Letters, and marks of which a run is one piece; an apostrophe may begin a piece of its own.
+LETTERS, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+#: Units that are one piece; signs that are a piece of their own at a word's end.
+PLAIN, ENDING = rf"^(?:\x00?(?:[{LETTERS}]+|[0-9]+|[{SIGNS}]+)|\n)$", f"([{LETTERS}0-9])([{SIGNS}]+)( |$)"
 #: Bytes that stand for themselves in byte-level BPE; the others are moved above them.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Units of a worker's young generation, some 200 bytes each; the old one has as many. And the longest that is remembered.
-REMEMBERED, LONGEST = 200_000, 40
+#: A byte that UTF-8 never holds, units in one string, and units that the library cuts in one call.
+NEVER, JOINED, CUT = 0xFF, 64, 4096
 #: Bytes of text that are encoded together (one text may have more), and words whose ids are gathered together.
 TOGETHER, GATHERED = 8 << 20, 1 << 19
 
@@ -64,53 +65,54 @@ class Encoder:
         about = json.loads(self.library.to_str())
         pre = about.get("pre_tokenizer") or {}
         self.added = [x["content"] for x in about.get("added_tokens", [])]
-        self.by_unit = bool(self.added) and about.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and about["model"].get("type") == "BPE"
         others = iter(range(256, 512))
-        self.letters = {b: b if b in PRINTABLE else next(others) for b in range(256)}
-        # Units that were met since the old generation was replaced, and those met in the time before.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.letters = np.array([b if b in PRINTABLE else next(others) for b in range(256)], "<u2")
+        model, never = about["model"], chr(self.letters[NEVER])
+        self.parting = self.library.token_to_id(never)
+        plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.by_unit = plain and bool(self.added) and about.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and [x for x in model["vocab"] if never in x] == [never]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learned(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of new units: keys with a leading mark stand for the rest, others but a line break's for themselves after a space."""
-        model, letters = self.library.model, self.letters
-        plain = list(filter(LATIN.fullmatch, keys))
-        found = {x: array("I", [y.id for y in model.tokenize((x[1:] if x[0] == MARK else " " + x).encode().decode("latin-1").translate(letters))]).tobytes() for x in plain}
-        keys = [x for x in keys if x not in found]
-        own = [x[1:] if x[0] == MARK else x if x[0] == "\n" else f" {x}" for x in keys]
-        # An added token, which no unit holds, parts them.
-        parted = [x for unit in own for x in (unit, self.added[0])]
-        coded = np.array(self.library.encode_batch_fast([parted], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        marks = coded == self.library.token_to_id(self.added[0])
-        ids, ends = coded[~marks].tobytes(), (4 * (np.flatnonzero(marks) - np.arange(len(own)))).tolist()
-        found.update([(x, ids[a:b]) for x, a, b in zip(keys, [0, *ends], ends)])
-        return found
-
-    def _ids_of(self, keys: list[str]) -> list[bytes]:
-        """Ids of different units. What is remembered is bounded: units that are not met again go with their generation."""
-        young, old = self.young, self.old
-        missing = [x for x in keys if x not in young]
-        young.update([(x, old[x]) for x in missing if x in old])
-        if new := [x for x in missing if x not in young]:
-            young.update(self._learned(new))
-        own = list(map(young.__getitem__, keys))
-        for x in new:
-            if len(x) > LONGEST:
-                del young[x]
-        if len(young) > REMEMBERED:
-            self.old, self.young = dict(islice(young.items(), len(young) - REMEMBERED, None)), {}
-        return own
+    def _pieces(self, units: pa.Array) -> np.ndarray:
+        """Ids of units that are one piece each, every unit's with ``parting`` after them."""
+        if not len(units):
+            return np.empty(0, "<u4")
+        lists = pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units.cast(pa.binary()))
+        part = bytes([NEVER])
+        joined = part + b" " + pc.binary_join(lists, part + b" ")[0].as_py() + part
+        own = np.frombuffer(joined.replace(part + b" \0", part).replace(part + b" \n", part + b"\n"), np.uint8)[1:]
+        ends = np.flatnonzero(own == NEVER) + 1
+        letters, cuts = self.letters[own].tobytes().decode("utf-16-le"), [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), len(own)]
+        model = self.library.model
+        return np.fromiter((y.id for a, b in zip(cuts[:-1], cuts[1:], strict=True) for y in model.tokenize(letters[a:b])), "<u4")
+
+    def _cut(self, units: list[str]) -> np.ndarray:
+        """The same of units that the library's pattern may cut; an added token, which no unit holds, parts them for it."""
+        own = [x[1:] if x[0] == MARK else f" {x}" for x in units]
+        parted = [[x for unit in own[k : k + CUT] for x in (unit, self.added[0])] for k in range(0, len(own), CUT)]
+        ids = [np.array(self.library.encode_batch_fast([x], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4") for x in parted]
+        ids = np.concatenate([np.empty(0, "<u4"), *ids])
+        return np.where(ids == self.library.token_to_id(self.added[0]), np.uint32(self.parting), ids)
+
+    def _ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different units, where each unit's begin, and how many they are.
+
+        Units with a leading mark stand for the rest, others but a line break for themselves after a space.
+        """
+        plain = pc.match_substring_regex(units, PLAIN)
+        ids = np.concatenate([self._pieces(units.filter(plain)), self._cut(units.filter(pc.invert(plain)).to_pylist())])
+        ends, order = np.flatnonzero(ids == self.parting), np.argsort(pc.invert(plain).to_numpy(zero_copy_only=False), kind="stable")
+        starts, sizes = np.empty((2, len(units)), np.int64)
+        starts[order] = np.append(0, ends[:-1] + 1)[: len(ends)]
+        sizes[order] = ends - starts[order]
+        return ids, starts, sizes
 
     def _by_unit(self, words: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
         """Ids of texts whose units are ``words``, each text up to one of ``ends``."""
         coded, parts, counts = words.dictionary_encode(), [], np.zeros(len(words) + 1, np.int64)
-        own = self._ids_of(coded.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(own), "<u4")
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        (ids, starts, sizes), codes = self._ids_of(coded.dictionary), coded.indices.to_numpy()
         for k in range(0, len(codes), GATHERED):
             part = codes[k : k + GATHERED]
             n = sizes[part]
@@ -139,12 +141,21 @@ class Encoder:
         return out
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` with about TOGETHER bytes of text each."""
-    sizes = pc.binary_length(batch.column(column)).to_numpy()
-    group = (np.cumsum(sizes, dtype=np.int64) - sizes) // TOGETHER
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, cut or put together to about TOGETHER bytes of text each."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_numpy()
+        group = (size + np.cumsum(sizes, dtype=np.int64) - sizes) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if size >= TOGETHER or a:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += int(sizes[a:b].sum())
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 @lru_cache(maxsize=2)
@@ -174,13 +185,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tokens")
         library, before = encoder(tokenizer), 0
-        for batch in batches:
-            for part in _slices(batch, 1):
-                ids = [np.append(x, end_id) for x in library.encode(part.column(1))]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(offsets), pa.array(sizes), _list(ids)], names=["doc_id", "row_offset", "n_tokens", "tokens"])
+        for part in _slices(batches, 1):
+            ids = [np.append(x, end_id) for x in library.encode(part.column(1))]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            offsets = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(offsets), pa.array(sizes), _list(ids)], names=["doc_id", "row_offset", "n_tokens", "tokens"])
 
     kind = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("row_offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     out = ordered.mapInArrow(encoded, kind)

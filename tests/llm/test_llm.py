@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 import xxhash
@@ -360,6 +361,52 @@ def test_encoder_equals_whole_texts():
     assert encoder.encode([]) == []
 
 
+def test_encoder_gives_the_library_many_units_at_once():
+    import public_tokenizers
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        @property
+        def model(self):
+            return self
+
+        def tokenize(self, text):
+            self.calls += 1
+            return self.inner.model.tokenize(text)
+
+        def encode_batch_fast(self, *given, **named):
+            self.calls += 1
+            return self.inner.encode_batch_fast(*given, **named)
+
+    drawn = random.Random(2)
+    ends = ["", "", ".", ",###", "***", "é.", "ÿ$$$", "!'s", "'s", "'", ".'", "(a)", "7", "7%"]
+    words = ["".join(drawn.choices("abcdeéßÿŁ", k=9)) + drawn.choice(ends) for _ in range(9000)] + ["###", "42", "-", "'", "\xff", "ÿ"]
+    texts = [" ".join(drawn.choices(words, k=40)) for _ in range(400)] + [" ".join(words), "\n".join(words), "  ".join(words), "ÿ", "\n"]
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library = encoder.library
+    encoder.library = counted = Counted(library)
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    # One call for each word was 8,000 and more.
+    assert counted.calls < 1000
+
+
+def test_texts_are_encoded_in_lots_of_bounded_size():
+    sizes = [3, 0, token_output.TOGETHER // 2, token_output.TOGETHER // 2, 5, 2 * token_output.TOGETHER, 1, 0, 7]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], names=["doc_id", "text"])
+    for rows in (1, 2, 4, 20):
+        batches = [whole.slice(k, rows) for k in range(0, len(sizes), rows)]
+        lots = list(token_output._slices(iter([whole.slice(0, 0), *batches, whole.slice(0, 0)]), 1))
+        assert pa.Table.from_batches(lots).combine_chunks() == pa.Table.from_batches([whole])
+        assert len(lots) < len(sizes)
+        assert all(x.num_rows == 1 or sum(sizes[i] for i in x.column(0).to_pylist()[:-1]) < token_output.TOGETHER for x in lots)
+    assert list(token_output._slices(iter([]), 1)) == []
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 13))
