@@ -80,26 +80,27 @@ class _Texts:
         self.cost = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])[self.offsets]  # tokens before each document
 
     def characters(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The padded texts of documents lo to hi as code points, each one's document, and whether an n-gram starts there."""
+        """The padded texts of documents lo to hi as code points, the document of each n of them, and which of these runs leave their text."""
         first, last, pad = self.offsets[lo], self.offsets[hi], "$" * (self.n - 1)
         texts = [pad + t + pad if t else "" for t in self.texts[first:last]]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         rows = np.repeat(np.repeat(np.arange(hi - lo), np.diff(self.offsets[lo : hi + 1])), sizes)
-        starts, ends = np.ones(len(points), dtype=bool), np.cumsum(sizes)[sizes > 0]
-        for i in range(1, self.n):
-            starts[ends - i] = False
-        return points, rows, starts
+        size, ends = max(0, len(points) - self.n + 1), np.cumsum(sizes)[sizes > 0]
+        over = np.concatenate([ends - i for i in range(1, self.n)] or [ends[:0]])
+        return points, rows[:size], over[over < size]
 
     def frequencies(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes (21 bits a character) of the different n-grams, and in how many of the documents each is."""
-        points, rows, starts = self.characters(lo, hi)
+        points, rows, over = self.characters(lo, hi)
         seen = np.zeros(CHARS, dtype=bool)
         seen[points] = True
         letters = np.flatnonzero(seen)
         lut = np.zeros(CHARS, dtype=np.int32)
         lut[letters] = np.arange(len(letters))
-        codes, rows = _codes(lut[points], self.n, len(letters))[starts[: max(0, len(points) - self.n + 1)]], rows[starts]
+        inside = np.ones(len(rows), dtype=bool)
+        inside[over] = False
+        codes, rows = _codes(lut[points], self.n, len(letters))[inside], rows[inside]
         if len(letters) ** self.n <= CODES:
             at = np.zeros(len(letters) ** self.n, dtype=np.int32)
             at[codes] = 1
@@ -154,14 +155,15 @@ class _Grams:
         self.codes = codes[self.order]
 
     def counts(self, texts: _Texts, lo: int, hi: int) -> np.ndarray:
-        points, rows, starts = texts.characters(lo, hi)
-        codes = _codes(self.lut[points], self.n, self.base)[starts[: max(0, len(points) - self.n + 1)]]
+        points, rows, over = texts.characters(lo, hi)
+        codes = _codes(self.lut[points], self.n, self.base)
         if self.table is not None:
             ids = self.table[codes]
         else:
             at = np.minimum(np.searchsorted(self.codes, codes), self.size - 1)
             ids = np.where(self.codes[at] == codes, self.order[at], self.size)
-        return _matrix(rows[starts], ids, hi - lo, self.size)
+        ids[over] = self.size
+        return _matrix(rows, ids, hi - lo, self.size)
 
 
 class _Words:
@@ -275,8 +277,10 @@ def _scores(scale: _Scale, made, table: np.ndarray, cut, lo: int, hi: int, k1: f
     if not scale.terms:
         return np.zeros((hi - lo, table.shape[1])), np.zeros((hi - lo, table.shape[1]), dtype=bool)
     f, dl = made.counts(cut, lo, hi), np.diff(cut.cost[lo : hi + 1])
-    norm = f + (k1 * (1 - b + b * np.maximum(dl, 1) / scale.avgdl))[:, None]
-    scores = (f * (k1 + 1) / norm) @ table
+    cells = np.flatnonzero(f)
+    own, length = f.ravel()[cells], k1 * (1 - b + b * np.maximum(dl, 1) / scale.avgdl)
+    f.ravel()[cells] = own * (k1 + 1) / (own + length[cells // f.shape[1]])
+    scores = f @ table
     if (scale.weights > 0).all():
         return scores, scores > 0
     present = np.zeros_like(table)
@@ -337,14 +341,15 @@ def _statistics(rows: DataFrame, part: Part, work: Workspace) -> tuple[DataFrame
     if part.n:
         counts = _small_batches(rows).select(F.col(f"`{column}`")).mapInArrow(_gram_frequencies(column, part.n), "term string, df long, docs long, length long")
         counts = work.save(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "length")]), name)
-        total = counts.where("term is null").first()
-        docs, length = (total.docs or 0, total.length or 0) if total else (0, 0)
-        counts = counts.where("term is not null")
     else:
-        words = F.col(f"`{column}`")
-        counts = work.save(rows.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), name)
-        docs, length = rows.agg(F.count_if(F.size(words) > 0), F.coalesce(F.sum(F.size(words)), F.lit(0))).first()
-    return counts.select("term", "df"), float(docs), length / docs if docs else 0.0
+        # A null beside a document's different words carries its length.
+        words = rows.select(F.col(f"`{column}`").alias("w")).select(F.size("w").alias("dl"), F.array_append(F.array_distinct("w"), F.lit(None).cast("string")).alias("w"))
+        alone = F.col("term").isNull()
+        words = words.select("dl", F.explode("w").alias("term")).groupBy("term")
+        counts = work.save(words.agg(F.count("*").alias("df"), F.count_if(alone & (F.col("dl") > 0)).alias("docs"), F.sum(F.when(alone, F.col("dl"))).alias("length")), name)
+    total = counts.where("term is null").first()
+    docs, length = (total.docs or 0, total.length or 0) if total else (0, 0)
+    return counts.where("term is not null").select("term", "df"), float(docs), length / docs if docs else 0.0
 
 
 def bm25_top(

@@ -205,6 +205,27 @@ def test_trigrams_of_bodies_save_no_pairs(spark, monkeypatch):
 
 
 
+def test_sum_of_normalised_rankings_without_term_tables(spark, scan_rows, monkeypatch):
+    docs, asked = scan_rows
+    docs = [(i, text, None if text is None else text[::-1] + " ab") for i, text in docs]
+    rows = spark.createDataFrame(docs, "doc_id long, title string, body string").repartition(5)
+    queries = spark.createDataFrame(asked, "qid int, text string")
+    parts = [scan.Part("title", 0, 1.0), scan.Part("title", 2, 0.7), scan.Part("body", 0, 0.5), scan.Part("body", 3, 0.2)]
+    want = {}
+    for p in parts:
+        cut = plain_grams(p.n) if p.n else lambda text: "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        own = plain_bm25([(i, title if p.field == "title" else body) for i, title, body in docs], asked, cut)
+        for x, s in own.items():
+            want[x] = want.get(x, 0.0) + s / max(own.values()) * p.weight
+    want = plain_top(want, 4)
+    for limit in (None, 900):
+        got = scanned(scan.bm25_top(rows, parts, queries, 4, Workspace(spark, "t"), normalise=True, limit=limit))
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+        assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6) for q in want)
+    assert most_saved(spark, monkeypatch, "ensemble_matrix") < 30000
+
+
+
 def test_lambdamart_goes_on_from_a_saved_model(spark):
     rng = random.Random(4)
     rows = spark.createDataFrame([(q, i, rng.randrange(3), [rng.random(), float(i)]) for q in range(20) for i in range(5)], "qid int, idx int, y int, features array<double>")
