@@ -46,7 +46,7 @@ class Part:
         return (lambda c: X.char_ngrams(c, self.n)) if self.n else self.words
 
 
-def _one_row_each(docs: DataFrame, parts: list[Part], key: str, work: Workspace) -> DataFrame:
+def one_row_each(docs: DataFrame, parts: list[Part], key: str, work: Workspace) -> DataFrame:
     """(key, <column of a part> ..): arrays of texts or of words. Rows of one key, which are few, are put together."""
     own = {p.column(): F.array_compact(F.array(p.field)) if p.n else F.coalesce(p.words(F.col(p.field)), F.array().cast("array<string>")) for p in parts}
     rows = docs.select(key, *[c.alias(name) for name, c in own.items()])
@@ -62,7 +62,7 @@ def _one_row_each(docs: DataFrame, parts: list[Part], key: str, work: Workspace)
 # ---- in the workers --------------------------------------------------------------------------------------------
 
 
-def _small_batches(df: DataFrame) -> DataFrame:
+def small_batches(df: DataFrame) -> DataFrame:
     """Rows go to the workers 2 MB at a time, unless the session says otherwise."""
     conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if limit not in conf.getAll:
@@ -339,7 +339,7 @@ def _statistics(rows: DataFrame, part: Part, work: Workspace) -> tuple[DataFrame
     """(term, df) of a part, how many documents have a term, and their mean length."""
     column, name = part.column(), f"{part.field}-{part.n}"
     if part.n:
-        counts = _small_batches(rows).select(F.col(f"`{column}`")).mapInArrow(_gram_frequencies(column, part.n), "term string, df long, docs long, length long")
+        counts = small_batches(rows).select(F.col(f"`{column}`")).mapInArrow(_gram_frequencies(column, part.n), "term string, df long, docs long, length long")
         counts = work.save(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "length")]), name)
     else:
         # A null beside a document's different words carries its length.
@@ -372,8 +372,8 @@ def bm25_top(
     with ``normalise`` its scores are divided by the largest of all queries. Queries whose terms exceed ``limit`` bytes take several turns.
     """
     spark = docs.sparkSession
-    rows = _one_row_each(docs, parts, key, work)
-    scored_rows = _small_batches(rows.where(F.col(key).isNotNull()))
+    rows = one_row_each(docs, parts, key, work)
+    scored_rows = small_batches(rows.where(F.col(key).isNotNull()))
     cuts = {(p.n, p.words): p.tokenizer() for p in parts}
     asked = {c: queries.select("qid", F.explode(cut(F.col("text"))).alias("term")).distinct() for c, cut in cuts.items()}
     limit, turns = limit or BROADCAST_BYTES, 1

@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loamix.functions import text as X
-from loamix.operators import graph, ltr, ordering, ranking, scan, sessions, stats, terms, trees
+from loamix.operators import corpora, graph, ltr, ordering, ranking, scan, sessions, stats, terms, trees
 from loamix.plans.shared import Workspace
 from loamix.sources import readers, writers
 from loamix.sources.collection import ZlibCollection
@@ -226,6 +226,34 @@ def test_sum_of_normalised_rankings_without_term_tables(spark, scan_rows, monkey
 
 
 
+def test_candidates_as_corpora(spark, monkeypatch):
+    """Candidates of their own, shared, overlapping and none; many buckets and one; fewer rows are saved than pairs of candidates and terms."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 9))), " ".join(word() for _ in range(20)) if i % 7 else None) for i in range(60)]
+    asked = [(q, word()) for q in range(8) for _ in range(5)]
+    cands = [(q, i) for q in range(7) for i in range(60) if i % 3 == q % 3 or (q == 6 and i % 2)] + [(5, 999)]
+    weights, want = {"a": 1.0, "b": 0.5}, {}
+    for q in range(8):
+        for c, (name, weight) in enumerate(weights.items()):
+            tf = {i: own for x in docs if (q, i := x[0]) in cands and (own := Counter((x[1 + c] or "").split()))}
+            df = Counter(t for own in tf.values() for t in own)
+            for i, own in tf.items():
+                w = {t: f * math.log2(len(tf) / df[t]) for t, f in own.items()}
+                norm, hits = math.sqrt(sum(x * x for x in w.values())), {t for p, t in asked if p == q} & set(w)
+                if hits:
+                    want[q, i] = want.get((q, i), 0.0) + weight * (sum(w[t] for t in hits) / norm if norm else 0.0)
+    want[3, 5] = want.get((3, 5), 0.0) + 2.0
+    frames = [spark.createDataFrame(x, s) for x, s in ((docs, "doc_id long, a string, b string"), (asked, "qid int, term string"), (cands, "qid int, doc_id long"), ([(3, 5, 2.0)], "qid int, doc_id long, boost double"))]
+    for bucket in (corpora.BUCKET, 50):
+        monkeypatch.setattr(corpora, "BUCKET", bucket)
+        got = corpora.tfidf_candidates(frames[0].repartition(3), weights, frames[1], frames[2], Workspace(spark, "t"), frames[3])
+        assert {(r.qid, r.doc_id): r.score for r in got.collect()} == pytest.approx(want)
+    monkeypatch.undo()
+    assert most_saved(spark, monkeypatch, "tfidf_candidate_fields") < 10000
+
+
+
 def test_lambdamart_goes_on_from_a_saved_model(spark):
     rng = random.Random(4)
     rows = spark.createDataFrame([(q, i, rng.randrange(3), [rng.random(), float(i)]) for q in range(20) for i in range(5)], "qid int, idx int, y int, features array<double>")
